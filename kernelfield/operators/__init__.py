@@ -1,0 +1 @@
+"""Operators of the particle-to-continuum engine."""

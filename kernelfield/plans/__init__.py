@@ -1,0 +1 @@
+"""Plans of the particle-to-continuum engine."""

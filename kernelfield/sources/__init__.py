@@ -1,0 +1 @@
+"""Sources of the particle-to-continuum engine."""

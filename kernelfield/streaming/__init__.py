@@ -1,0 +1 @@
+"""Streaming of the particle-to-continuum engine."""
