@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kernelfield.llm import language_id, packing, quality_rules, secret_scan, source_mixing, token_counts, topk_search, warc
+from kernelfield.llm import language_id, packing, quality_rules, secret_scan, source_mixing, suffix_dedup, token_counts, topk_search, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_source_mixing": source_mixing.op2_source_mixing,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_warc": warc.op4_warc,
