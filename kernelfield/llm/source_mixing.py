@@ -7,7 +7,7 @@ are folded in blocks of about block_units; the unit that a block leaves goes to
 a block has at most block_units entries, until one unit a source is left, which is drawn by itself. Each level is written
 to the shared folder, so its two readers do not repeat it.
 
-Draws come from hashes of the two keys, so reruns agree. Sources are ranked by code point (one row per source).
+Draws come from hashes of the two keys and texts, so reruns agree. Sources are ranked by code point (one row per source).
 
 Defined cases: null texts have size 0; the null source is one source, last in rank; documents without words are taken 0
 words; repeated rows count once each; ties in a block go by size, then key; an empty table gives no rows; extra
@@ -72,40 +72,62 @@ def _folded(units: DataFrame, level: int) -> DataFrame:
     return units.groupBy("source", "block").agg(F.sort_array(F.collect_list("unit")).alias("units")).select("source", "block", F.aggregate("units", start, step).alias("s")).select("source", "block", "s.left", "s.done")
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", cap: int = 3, cycle: int = 3, block_units: int = 64) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken: one row per row of docs."""
-    words = F.size(F.regexp_extract_all(plain_text(text), F.lit(WORD_SQL), F.lit(0)))
-    sized = written(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), words.cast("bigint").alias("size"), F.xxhash64(plain_text(text)).alias("salt")), "sized")
-    targets = written(source_targets(sized, cap, cycle), "targets")
-    wanted = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
-    near = F.when(F.abs(wanted - F.round(wanted)) < EPS, F.round(wanted)).otherwise(wanted)
-    each = targets.withColumn("near", near).withColumn("whole", F.floor("near").cast("int")).withColumn("p", F.col("near") - F.floor("near"))
-    each = each.withColumnRenamed("source", "of")
-    rows = sized.join(each, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    split = (F.col("size") > 0) & (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
-    blocks = F.ceil(F.col("docs") / block_units)
-    units = rows.where(split).select("source", F.pmod(F.xxhash64(F.lit("block"), "doc_id", "salt"), F.greatest(blocks, F.lit(1))).alias("block"), F.struct("size", "doc_id", "salt", "whole", "p").alias("unit"))
-    settled = rows.where(~split).select("source", "doc_id", "size", "whole", F.lit(0).alias("up"))
-    most = (targets.agg(F.max("docs")).first()[0] or 0) // block_units + 1
-    level, spent = 0, []
+def _tree(units: DataFrame, most: int, block_units: int, label: int) -> tuple[list[DataFrame], DataFrame]:
+    """Folds units level by level. Returns each level's table, and the last unit of each source: source, u, up."""
+    states, level = [], 0
     while True:
-        state = written(_folded(units, level), "pivotal")
-        done = state.select("source", F.explode("done").alias("u")).select("source", "u.doc_id", "u.size", "u.whole", (F.col("u.p") > 0.5).cast("int").alias("up"))
-        settled = settled.unionByName(done)
-        spent.append(state)
+        state = written(_folded(units, 64 * label + level), "pivotal")
+        states.append(state)
         if most <= 1:
             break
         units = state.where(F.col("left").isNotNull()).select("source", F.floor(F.col("block") / block_units).alias("block"), F.col("left").alias("unit"))
         most, level = -(-most // block_units), level + 1
     draw = F.pmod(F.xxhash64(F.lit("last"), "u.doc_id", "u.salt"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    last = state.where(F.col("left").isNotNull()).select("source", F.col("left").alias("u")).select("source", "u.doc_id", "u.size", "u.whole", (draw < F.col("u.p")).cast("int").alias("up"))
+    return states, state.where(F.col("left").isNotNull()).select("source", F.col("left").alias("u")).select("source", "u", (draw < F.col("u.p")).cast("int").alias("up"))
+
+
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", cap: int = 3, cycle: int = 3, block_units: int = 64, tiers: tuple[int, ...] = (1024, 128)) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken: one row per row of docs.
+
+    Documents of more words than tiers[0] are rounded first, then those of more than tiers[1], and so on. What the last unit of a
+    tier is off its expected words is taken from the fractions of the next tier, in proportion, so a source ends
+    about a small document's size from its target.
+    """
+    words = F.size(F.regexp_extract_all(plain_text(text), F.lit(WORD_SQL), F.lit(0))).cast("bigint")
+    tier = sum(((F.col("size") <= t).cast("int") for t in tiers), F.lit(0))
+    plain = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), F.xxhash64(plain_text(text)).alias("salt"))
+    sized = written(plain.withColumn("tier", tier), "sized")
+    targets = written(source_targets(sized, cap, cycle), "targets")
+    per_tier = written(sized.groupBy("source", "tier").agg(F.sum("size").alias("tier_size"), F.count("*").alias("n")), "tiers")
+    most = {r[0]: r[1] for r in per_tier.groupBy("tier").agg(F.max("n")).collect()}
+    wanted = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
+    near = F.when(F.abs(wanted - F.round(wanted)) < EPS, F.round(wanted)).otherwise(wanted)
+    each = targets.withColumn("near", near).select(F.col("source").alias("of"), F.floor("near").cast("int").alias("whole"), (F.col("near") - F.floor("near")).alias("share"))
+    off, settled = targets.select(F.col("source").alias("of"), F.lit(0.0).alias("off")), []
+    for label in range(len(tiers) + 1):
+        if label not in most:
+            continue
+        here = per_tier.where(F.col("tier") == label).join(each, F.col("source").eqNullSafe(F.col("of"))).drop("of").join(off, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        p = F.when((F.col("share") > EPS) & (F.col("share") < 1 - EPS) & (F.col("tier_size") > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("share") - F.col("off") / F.col("tier_size")))).otherwise(F.round("share"))
+        plan = written(here.select(F.col("source").alias("of"), "whole", p.alias("p"), "n", (F.col("off") + (p - F.col("share")) * F.col("tier_size")).alias("off")), "plan")
+        rows = sized.where(F.col("tier") == label).join(plan, F.col("source").eqNullSafe(F.col("of")))
+        split = (F.col("size") > 0) & (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
+        blocks = F.greatest(F.ceil(F.col("n") / block_units), F.lit(1))
+        units = rows.where(split).select("source", F.pmod(F.xxhash64(F.lit("block"), "doc_id", "salt"), blocks).alias("block"), F.struct("size", "doc_id", "salt", "whole", "p").alias("unit"))
+        settled.append(rows.where(~split).select("source", "doc_id", "size", "whole", (F.col("p") > 0.5).cast("int").alias("up")))
+        states, last = _tree(units, -(-most[label] // block_units), block_units, label)
+        settled += [s.select("source", F.explode("done").alias("u")).select("source", "u.doc_id", "u.size", "u.whole", (F.col("u.p") > 0.5).cast("int").alias("up")) for s in states]
+        settled.append(last.select("source", "u.doc_id", "u.size", "u.whole", "up"))
+        over = last.select(F.col("source").alias("last_of"), ((F.col("up") - F.col("u.p")) * F.col("u.size")).alias("over"))
+        changed = plan.join(over, F.col("of").eqNullSafe(F.col("last_of")), "left").select(F.col("of").alias("now_of"), (F.col("off") + F.coalesce("over", F.lit(0.0))).alias("now"))
+        # a source without documents in this tier keeps what it was off
+        off = written(off.join(changed, F.col("of").eqNullSafe(F.col("now_of")), "left").select("of", F.coalesce("now", "off").alias("off")), "off")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("up")).otherwise(0)
     totals = targets.select(F.col("source").alias("of"), "source_size", "target")
-    return (
-        settled.unionByName(last)
-        .join(totals, F.col("source").eqNullSafe(F.col("of")), "left")
-        .select("doc_id", "size", "source_size", "target", copies.cast("bigint").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
-    )
+    every = sized.where(F.lit(False)).select("source", "doc_id", "size", F.lit(0).alias("whole"), F.lit(0).alias("up"))
+    for part in settled:
+        every = every.unionByName(part)
+    return every.join(totals, F.col("source").eqNullSafe(F.col("of")), "left").select("doc_id", "size", "source_size", "target", copies.cast("bigint").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
