@@ -11,9 +11,12 @@ packed once each; texts of any length are cut; extra input columns are ignored;
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +26,16 @@ from pyspark.sql import functions as F
 from kernelfield.llm.common import WORD, table
 
 CAPACITY = 2048
+#: Beyond these letters lower-casing before normalising may differ from the tokenizer's, as it does for special strings.
+_UNSURE = re.compile(r"[\u0130\u0250-\U0010FFFF]|<\|")
+#: Closing marks between a letter and white space are a piece of their own for the tokenizer.
+_CLOSING = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,!?;:]+)(?=[\x20\x09-\x0D])")
 
 
 class IdEncoder:
-    """Ids of texts by a tokenizers file whose pre-tokenizer drops white space: each run of other characters is encoded by itself, and kept while the cache has room."""
+    """Ids of texts by a tokenizers file whose pre-tokenizer drops white space: each run of other characters is encoded by itself, in lower case and without closing marks where that is sure to give the same ids, and kept while the cache has room."""
 
-    def __init__(self, path: str, cached: int = 300_000, batch_bytes: int = 1 << 19):
+    def __init__(self, path: str, cached: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,14 +44,35 @@ class IdEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cached, self.batch_bytes = cached, batch_bytes
+        self.cached = cached
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.starts, self.sizes, self.flat = {}, array("q"), array("q"), array("I")
+        self.known: dict[str, int] = {}
+        self.starts, self.sizes, self.flat = array("q"), array("q"), array("I")
 
     def _learn(self, words: list[str]) -> None:
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+        """Letters alone are one piece, whose last id alone ends a word: many are encoded as one text and told apart by that."""
+        plain, odd = [], []
+        for word in words:
+            (plain if word.isalpha() and "\u0250" > max(word) else odd).append(word)
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([" ".join(plain[s : s + 2000]) for s in range(0, len(plain), 2000)], add_special_tokens=False)]
+        ends = [np.flatnonzero(self.ends[x]) + 1 for x in ids]
+        fits = [len(e) == len(plain[2000 * k : 2000 * k + 2000]) for k, e in enumerate(ends)]
+        for k, fit in enumerate(fits):
+            part = plain[2000 * k : 2000 * k + 2000]
+            if not fit:
+                odd += part
+                continue
+            start = np.concatenate(([0], ends[k][:-1]))
+            self.known.update(zip(part, range(len(self.starts), len(self.starts) + len(part)), strict=True))
+            self.starts.frombytes((start + len(self.flat)).astype(np.int64).tobytes())
+            self.sizes.frombytes((ends[k] - start).astype(np.int64).tobytes())
+            self.flat.frombytes(ids[k].tobytes())
+        for word, got in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             self.known[word] = len(self.starts)
             self.starts.append(len(self.flat))
             self.sizes.append(len(got.ids))
@@ -53,25 +81,21 @@ class IdEncoder:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.cached:
             self._clear()
-        split = [WORD.findall(t) for t in texts]
-        batch, size = [], 0
-        for word in {w for words in split for w in words if w not in self.known}:
-            batch.append(word)
-            size += len(word)
-            if size >= self.batch_bytes:
-                self._learn(batch)
-                batch, size = [], 0
-        if batch:
-            self._learn(batch)
+        split = [WORD.findall(t if _UNSURE.search(t) else _CLOSING.sub(r" \1", t.lower())) for t in texts]
+        self._learn(list(set().union(*split).difference(self.known)))
         starts, sizes, flat = np.array(self.starts, np.int64), np.array(self.sizes, np.int64), np.array(self.flat, np.uint32)
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            n = sizes[at]
-            upto = np.cumsum(n)
-            total = int(upto[-1]) if len(words) else 0
-            out.append(flat[np.repeat(starts[at] - upto + n, n) + np.arange(total)])
-        return out
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        n = sizes[at]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        every = flat[np.repeat(starts[at] - upto[:-1], n) + np.arange(upto[-1])]
+        edge = upto[np.concatenate(([0], np.cumsum([len(w) for w in split], dtype=np.int64)))]
+        return [every[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
+@cache
+def encoder(path: str) -> IdEncoder:
+    """One a Python worker, so that what a task has learned serves the next."""
+    return IdEncoder(path)
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -103,11 +127,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
     """Pieces of at most capacity ids: key, start, length, ids_crc32, doc_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = IdEncoder(tokenizer_path)
+        own = encoder(tokenizer_path)
 
         def cut(keys: list, texts: list[str]) -> pa.RecordBatch:
             rows = []
-            for k, ids in zip(keys, encoder.ids(texts), strict=True):
+            for k, ids in zip(keys, own.ids(texts), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for s in range(0, len(ids), capacity):
                     part = ids[s : s + capacity]
