@@ -68,18 +68,18 @@ class Model:
             if taken[x] < landmarks:
                 taken[x] += 1
                 place.append(i)
-        rows = presence(texts)
-        marks = rows[place].astype(np.float64)
-        values, vectors = np.linalg.eigh(marks @ marks.T)
-        root = vectors * np.where(values > 1e-8, 1 / np.sqrt(np.maximum(values, 1e-8)), 0) @ vectors.T
-        features = rows @ (marks.T @ root)
+        marks = presence([texts[i] for i in place])
+        values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+        root = vectors * np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0) @ vectors.T
+        kernel = [presence(texts[s : s + 64]) @ marks.T for s in range(0, len(texts), 64)]
+        features = np.concatenate(kernel).astype(np.float64) @ root
         target = np.where(np.array(langs)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
         # balance: each language has the same weight
         weight = 1 / np.array([langs.count(x) for x in langs], float)[:, None]
         mean_x, mean_y = (features * weight).sum(0) / weight.sum(), (target * weight).sum(0) / weight.sum()
         x, y = features - mean_x, target - mean_y
         beta = np.linalg.solve(x.T @ (weight * x) + ridge * weight.sum() / len(x) * np.eye(x.shape[1]), x.T @ (weight * y))
-        return Model(languages, (marks.T @ root @ beta).astype(np.float32), (mean_y - mean_x @ beta).astype(np.float32))
+        return Model(languages, (marks.T @ (root @ beta).astype(np.float32)), (mean_y - mean_x @ beta).astype(np.float32))
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         values = presence(texts) @ self.weights + self.bias
