@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from kernelfield.llm.common import WORD, table
 
 CAPACITY = 2048
-#: Beyond these letters lower-casing before normalising may differ from the tokenizer's, as it does for special strings.
-_UNSURE = re.compile(r"[\u0130\u0250-\U0010FFFF]|<\|")
+#: Beyond these letters lower-casing before normalising may differ from the tokenizer's, as it does for special strings; the first few are white space to Python alone.
+_UNSURE = re.compile(r"[\x1C-\x1F\x85\xA0\u0130\u0250-\U0010FFFF]|<\|")
 #: Closing marks between a letter and white space are a piece of their own for the tokenizer.
 _CLOSING = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,!?;:]+)(?=[\x20\x09-\x0D])")
 
@@ -81,7 +81,7 @@ class IdEncoder:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.cached:
             self._clear()
-        split = [WORD.findall(t if _UNSURE.search(t) else _CLOSING.sub(r" \1", t.lower())) for t in texts]
+        split = [WORD.findall(t) if _UNSURE.search(t) else _CLOSING.sub(r" \1", t.lower()).split() for t in texts]
         self._learn(list(set().union(*split).difference(self.known)))
         starts, sizes, flat = np.array(self.starts, np.int64), np.array(self.sizes, np.int64), np.array(self.flat, np.uint32)
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
