@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelfield.llm.common import plain_text, table
+from kernelfield.llm.common import lean, plain_text, table, trim
 
 LENGTH, GRAM, SHALLOW = 100, 16, 32
 SLOT_BITS = 22
@@ -323,7 +323,7 @@ def frequent_slots(rows: DataFrame, buckets: int, length: int) -> np.ndarray | N
         some = np.flatnonzero(found >= max(4, total // (16 * buckets)))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(found[some], total), pa.int64())], ["slot", "n"])
 
-    sums = rows.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    sums = rows.select("text").mapInArrow(lean(count), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     counts = sums.where(F.col("n") >= 64).collect()
     total = next((r[1] for r in counts if r[0] == -1), 0)
     least = max(64, total // (8 * buckets), 20 * total >> SLOT_BITS)
@@ -335,7 +335,7 @@ def frequent_slots(rows: DataFrame, buckets: int, length: int) -> np.ndarray | N
     return np.packbits(hot)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = 4 << 20, flush_bytes: int = 24 << 20, text: str = "text", key: str = "doc_id", texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = 4 << 20, flush_bytes: int = 4 << 20, text: str = "text", key: str = "doc_id", texts: bool = False) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept_text, the remaining bytes as binary."""
     spark = docs.sparkSession
     raw = plain_text(text).cast("binary")
@@ -352,7 +352,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = 4
             sent = list(_sent(pending, buckets))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int64()), pa.array([x[1] for x in sent], pa.int32()), pa.array([x[2] for x in sent], pa.binary())], ["bucket", "kind", "data"])
 
-        for batch in batches:
+        for batch in (b.slice(s, 256) for b in batches for s in range(0, b.num_rows, 256)):
             for doc, rid, value in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if len(value) < length:
                     continue
@@ -375,9 +375,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = 4
             got = covered(Pieces.unpacked(blocks), length)
             parts.append(np.stack([got["doc"], got["rid"], got["low"], got["high"]]))
         all_ = np.concatenate(parts, 1) if parts else np.zeros((4, 0), np.int64)
+        trim()
         return pa.table([pa.array(all_[k], pa.int64()) for k in range(4)], ["doc", "rid", "low", "high"])
 
-    ranges = rows.select("doc", "rid", "text").mapInArrow(cut, "bucket bigint, kind int, data binary").groupBy("bucket").applyInArrow(solve, "doc bigint, rid bigint, low bigint, high bigint")
+    ranges = rows.select("doc", "rid", "text").mapInArrow(lean(cut), "bucket bigint, kind int, data binary").groupBy("bucket").applyInArrow(solve, "doc bigint, rid bigint, low bigint, high bigint")
     lists = ranges.groupBy("doc", "rid").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,10 +386,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = 4
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack.compress(x) for x in batch.column(3).to_pylist()], pa.binary())], ["doc_id", "doc", "rid", "packed"])
 
-    whole = rows.mapInArrow(squeezed, "doc_id bigint, doc bigint, rid bigint, packed binary")
+    whole = rows.mapInArrow(lean(squeezed), "doc_id bigint, doc bigint, rid bigint, packed binary")
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(s, 1024) for b in batches for s in range(0, b.num_rows, 1024)):
             out = []
             lists = batch.column(2)
             flat = np.stack([lists.values.field(k).to_numpy() for k in range(2)], 1) if len(lists.values) else np.zeros((0, 2), np.int64)
@@ -402,12 +403,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = 4
                     kept.append(value[upto:a])
                     upto = b
                 rest = b"".join([*kept, value[upto:]])
-                out.append((len(value), len(value) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest))
+                out.append((len(value), len(value) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest if texts else b""))
             arrays = [pa.array([x[k] for x in out], pa.int64()) for k in range(3)] + [pa.array([x[3] for x in out], pa.string())] + [pa.array([x[4] for x in out], pa.binary())] * texts
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * texts)
 
     joined = whole.join(lists, ["doc", "rid"], "left").select("doc_id", "packed", "ranges")
-    return joined.mapInArrow(result, f"`{key}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text binary" * texts)
+    return joined.mapInArrow(lean(result), f"`{key}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text binary" * texts)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
