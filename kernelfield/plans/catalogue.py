@@ -1,6 +1,445 @@
-"""Registered queries of the engine and their DuckDB counterparts."""
+"""Registered queries of the engine over the fixtures, and their DuckDB counterparts."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kernelfield.functions import tensors as T
+from kernelfield.functions.kernels import Kernel
+from kernelfield.operators import contacts as C
+from kernelfield.operators import grid as G
+from kernelfield.operators import neighbours as N
+from kernelfield.operators import profiles as P
+from kernelfield.operators import slices as L
+from kernelfield.operators import statistics as S
+from kernelfield.operators import sweep as W
+from kernelfield.operators.fields import Fields, bulk_fabric
+from kernelfield.plans import fixtures as X
+from kernelfield.plans import oracles as O
+from kernelfield.sources import sinks
+
+AXES, PAIRS = "xyz", T.PAIRS
 QUERIES: dict = {}
 ORACLES: dict = {}
+PERIODIC = (True, True, True)
+KEY = ["t", "node", "phase"]
+KEY_SQL = "CAST(t AS INTEGER) AS t, CAST(node AS BIGINT) AS node, CAST(phase AS INTEGER) AS phase"
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def R(column, name: str, digits: int = 9):
+    c = F.col(column) if isinstance(column, str) else column
+    return (F.round(c, digits) + F.lit(0.0)).alias(name)
+
+
+def _fields(spark: SparkSession, sf_dir: str, phased: bool = False, with_contacts: bool = False, **more) -> Fields:
+    p = X.particles(spark, sf_dir)
+    directed = C.mapped(C.deduplicated(X.contacts(spark, sf_dir)), p, PERIODIC) if with_contacts else None
+    phases = S.distinct_phases(p).drop("n") if phased else None
+    return Fields(p, X.LATTICE, Kernel("Lucy", X.CUTOFF), directed, 3 if phased else 0, phases, **more)
+
+
+# particles
+
+
+@_query(O.query([O.particles()], "SELECT a AS axis, " + O.rnd("low", "low", 12) + ", " + O.rnd("high", "high", 12) + " FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, min({a}) AS low, max({a}) AS high FROM p" for a in AXES) + ")"))
+def particle_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return S.particle_bounds(X.particles(spark, d)).select("axis", R("low", "low", 12), R("high", "high", 12))
+
+
+@_query(O.query([O.particles()], "SELECT " + O.rnd("max(diameter)", "dmax", 12) + ", " + O.rnd("sum(pow(diameter,4))/sum(pow(diameter,3))", "d43", 12) + ", " + O.rnd("sum(pow(diameter,3))/sum(pow(diameter,2))", "d32", 12) + ", " + O.rnd("sqrt(sum(pow(diameter,2))/count(*))", "drms", 12) + " FROM p"))
+def particle_size_stats(spark: SparkSession, d: str) -> DataFrame:
+    return S.size_statistics(X.particles(spark, d)).select(*[R(n, n, 12) for n in ("dmax", "d43", "d32", "drms")])
+
+
+#: Particles with sizes that differ, for the median.
+_SIZED = "SELECT id, 0.01e0 + (id % 97) / 5000e0 AS diameter, mass FROM p"
+
+
+@_query(O.query([O.particles(), f"q AS ({_SIZED})", "s AS (SELECT diameter, sum(mass) OVER (ORDER BY diameter, mass, id) / sum(mass) OVER () AS f, row_number() OVER (ORDER BY diameter, mass, id) AS r FROM q)", "b AS (SELECT min(r) AS r FROM s WHERE f >= 0.5e0)"], "SELECT " + O.rnd("CASE WHEN y.r IS NULL THEN x.diameter ELSE y.diameter + (0.5e0 - y.f) * (x.diameter - y.diameter) / (x.f - y.f) END", "d50") + " FROM b JOIN s x ON x.r = b.r LEFT JOIN s y ON y.r = b.r - 1"))
+def particle_d50(spark: SparkSession, d: str) -> DataFrame:
+    return S.mass_median(X.particles(spark, d).withColumn("diameter", F.lit(0.01) + F.col("id") % 97 / F.lit(5000.0))).select(R("d50", "d50"))
+
+
+@_query(O.query([O.particles()], "SELECT CAST(row_number() OVER (ORDER BY diameter, density) AS INTEGER) AS phase, diameter, density, count(*) AS n FROM p GROUP BY diameter, density"))
+def phase_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return S.distinct_phases(X.particles(spark, d))
+
+
+@_query(O.query([O.particles(), "q AS (SELECT diameter, density, row_number() OVER (ORDER BY diameter, density) AS phase FROM p GROUP BY diameter, density)"], "SELECT id, CAST(q.phase AS INTEGER) AS phase, " + O.rnd("diameter", "diameter") + ", " + O.rnd("density", "density", 6) + " FROM p JOIN q USING (diameter, density)"))
+def phase_kmeans(spark: SparkSession, d: str) -> DataFrame:
+    """The fixture has three separate kinds of particles, so clustering must find them."""
+    return S.kmeans_phases(X.particles(spark, d)).select("id", "phase", R("diameter", "diameter"), R("density", "density", 6))
+
+
+# kernels
+
+
+def _kernel_query(name: str):
+    table, exact = Kernel(name, X.CUTOFF), Kernel(name, X.CUTOFF, "exact")
+
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        r = F.col("p_partkey") % 2300 / F.lit(10000.0)
+        rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", r.alias("r"))
+        return rows.select("p_partkey", R(table.weight(F.col("r")), "w_table"), R(exact.weight(F.col("r")), "w_exact"))
+
+    f.__name__ = f"kernel_{name.lower()}"
+    return _query(f"SELECT p_partkey, {O.rnd(O.kernel(table, 'r'), 'w_table')}, {O.rnd(O.kernel(exact, 'r'), 'w_exact')} FROM (SELECT p_partkey, p_partkey % 2300 / 10000e0 AS r FROM part)")(f)
+
+
+for _name in ("Lucy", "Gaussian", "HeavySide"):
+    _kernel_query(_name)
+
+
+# grids
+
+
+def _grid_query(axes: str):
+    ranges, transects = {a: (0.1, 0.9) for a in axes}, {a: 0.5 for a in AXES if a not in axes}
+    lattice = G.lattice(axes, ranges, 0.2, transects)
+
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return G.lattice(axes, ranges, 0.2, transects).frame(spark).select("node", "ix", "iy", "iz", *[R(a, a) for a in AXES])
+
+    f.__name__ = f"grid_{len(axes)}d_{axes}"
+    cols = ", ".join([f"CAST(i{a} AS INTEGER) AS i{a}" for a in AXES] + [O.rnd(f"g{a}", a) for a in AXES])
+    return _query(O.query([O.grid(lattice)], f"SELECT CAST(node AS BIGINT) AS node, {cols} FROM g"))(f)
+
+
+for _axes in ("x", "y", "z", "xy", "xz", "yz", "xyz"):
+    _grid_query(_axes)
+
+
+# neighbours
+
+
+@_query(O.query([O.particles(), O.grid(), O.pairs(weight=False)], "SELECT CAST(node AS BIGINT) AS node, count(*) AS n, " + O.rnd("sum(dist)", "total") + " FROM pairs GROUP BY node"))
+def neighbour_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return N.match(X.particles(spark, d), X.LATTICE, X.CUTOFF).groupBy("node").agg(F.count("*").alias("n"), R(F.sum("dist"), "total"))
+
+
+@_query(O.query([O.particles(), O.grid(), O.pairs(weight=False)], "SELECT id, CAST(node AS BIGINT) AS node, " + ", ".join(O.rnd(c, c, 12) for c in ("rx", "ry", "rz", "dist")) + " FROM pairs"))
+def displacement(spark: SparkSession, d: str) -> DataFrame:
+    return N.match(X.particles(spark, d), X.LATTICE, X.CUTOFF).select("id", "node", *[R(c, c, 12) for c in ("rx", "ry", "rz", "dist")])
+
+
+_NODES = "SELECT s_suppkey AS node, (s_suppkey * 37 % 101) / 101e0 AS gx, (s_suppkey * 53 % 103) / 103e0 AS gy, (s_suppkey * 71 % 107) / 107e0 AS gz, 0 AS ix, 0 AS iy, 0 AS iz FROM supplier"
+
+
+@_query(O.query([O.particles(), f"g AS ({_NODES})", O.pairs(weight=False)], "SELECT node, count(*) AS n, " + O.rnd("sum(dist)", "total") + " FROM pairs GROUP BY node"))
+def neighbour_pairs_scattered(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    nodes = spark.read.parquet(f"{d}/supplier.parquet").select(s.alias("node"), (s * 37 % 101 / F.lit(101.0)).alias("x"), (s * 53 % 103 / F.lit(103.0)).alias("y"), (s * 71 % 107 / F.lit(107.0)).alias("z"))
+    return N.match_scattered(X.particles(spark, d), nodes, X.CUTOFF).groupBy("node").agg(F.count("*").alias("n"), R(F.sum("dist"), "total"))
+
+
+# contacts
+
+
+@_query(O.query([O.particles(), *O.contacts()], "SELECT CAST(t AS INTEGER) AS t, row_idx, i, j, " + ", ".join(O.rnd(f"f{a}", f"f{a}", 6) for a in AXES) + " FROM c"))
+def contacts_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return C.deduplicated(X.contacts(spark, d)).select("t", F.col("row_idx").cast("bigint").alias("row_idx"), "i", "j", *[R(f"f{a}", f"f{a}", 6) for a in AXES])
+
+
+_MAPPED = "SELECT CAST(t AS INTEGER) AS t, cid, CAST(side AS INTEGER) AS side, id, CAST(phase AS INTEGER) AS phase, " + O.rnd("volume", "volume", 12) + ", " + ", ".join(O.rnd(f"{k.replace('b', 'br')}{a}", f"{k}_{a}") for k in "fbd" for a in AXES) + " FROM d"
+
+
+def _mapped(rows: DataFrame) -> DataFrame:
+    return rows.select("t", F.col("cid").cast("bigint").alias("cid"), "side", "id", "phase", R("volume", "volume", 12), *[R(f"{k}{a}", f"{k}_{a}") for k in "fbd" for a in AXES])
+
+
+@_query(O.query([O.particles(), *O.contacts(False)], _MAPPED))
+def contacts_mapped(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(C.mapped(C.deduplicated(X.contacts(spark, d)), X.particles(spark, d)))
+
+
+@_query(O.query([O.particles(), *O.contacts(True)], _MAPPED))
+def branch_from_diameters(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(C.mapped(C.deduplicated(X.contacts(spark, d)), X.particles(spark, d), PERIODIC))
+
+
+@_query(O.query([O.particles(), *O.contacts(True, True)], _MAPPED))
+def branch_from_points(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(C.mapped(C.deduplicated(X.contacts(spark, d, points=True)), X.particles(spark, d), PERIODIC))
+
+
+_CN = "cn AS MATERIALIZED (SELECT p.t, p.id, coalesce(n, 0) AS coordination FROM p LEFT JOIN (SELECT t, id, count(*) AS n FROM (SELECT t, i AS id FROM c UNION ALL SELECT t, j FROM c) GROUP BY t, id) q ON q.t = p.t AND q.id = p.id)"
+
+
+@_query(O.query([O.particles(), *O.contacts(), _CN], "SELECT CAST(t AS INTEGER) AS t, id, CAST(coordination AS BIGINT) AS coordination FROM cn"))
+def coordination(spark: SparkSession, d: str) -> DataFrame:
+    return C.coordination(C.deduplicated(X.contacts(spark, d)), X.particles(spark, d))
+
+
+@_query(O.query([O.particles(), *O.contacts(), _CN], "SELECT CAST(t AS INTEGER) AS t, id, CAST(coordination AS BIGINT) AS coordination FROM cn WHERE coordination > 1"))
+def coordination_without_rattlers(spark: SparkSession, d: str) -> DataFrame:
+    return C.without_rattlers(coordination(spark, d))
+
+
+@_query(O.query([O.particles(), *O.contacts()], "SELECT CAST(t AS INTEGER) AS t, " + O.rnd("avg(diameter)", "mean_diameter", 12) + " FROM d GROUP BY t"))
+def contact_mean_diameter(spark: SparkSession, d: str) -> DataFrame:
+    p = X.particles(spark, d)
+    return C.mean_contact_diameter(C.mapped(C.deduplicated(X.contacts(spark, d)), p), p).select("t", R("mean_diameter", "mean_diameter", 12))
+
+
+# sums of particles
+
+
+def _bulk(names: dict[str, str], digits: int = 9):
+    """A query of columns of the velocity table, and its SQL."""
+
+    def wrap(name: str, sql: dict[str, str], phased: bool = False):
+        def f(spark: SparkSession, d: str) -> DataFrame:
+            return _fields(spark, d, phased).velocity.select(*KEY, *[R(c, n, digits) for n, c in names.items()])
+
+        f.__name__ = name
+        return _query(O.query([*O.base(phased), O.VELOCITY], f"SELECT {KEY_SQL}, " + ", ".join(O.rnd(s, n, digits) for n, s in sql.items()) + " FROM v"))(f)
+
+    return wrap
+
+
+_bulk({"volume_fraction": "phi"})("cg_volume_fraction", {"volume_fraction": "phi"})
+_bulk({"density_mixture": "rho"})("cg_density_mixture", {"density_mixture": "rho"})
+_bulk({"density_particle": "density_particle"}, 6)("cg_density_particle", {"density_particle": "dp"})
+_bulk({f"momentum_{a}": f"p_{a}" for a in AXES})("cg_momentum", {f"momentum_{a}": f"p{a}" for a in AXES})
+_bulk({f"velocity_{a}": f"v_{a}" for a in AXES})("cg_velocity", {f"velocity_{a}": f"v{a}" for a in AXES})
+_bulk({"d43": "d43"}, 12)("cg_d43", {"d43": "d43"})
+_bulk({"d32": "d32"}, 12)("cg_d32", {"d32": "d32"})
+_bulk({"volume_fraction": "phi", "density_mixture": "rho"})("cg_scalar_poly", {"volume_fraction": "phi", "density_mixture": "rho"}, True)
+_bulk({f"velocity_{a}": f"v_{a}" for a in AXES} | {f"momentum_{a}": f"p_{a}" for a in AXES})("cg_vector_poly", {f"velocity_{a}": f"v{a}" for a in AXES} | {f"momentum_{a}": f"p{a}" for a in AXES}, True)
+
+
+@_query(O.query([O.particles(), *O.contacts(), _CN, O.grid(), O.keys(False), O.pairs(source="(SELECT p.*, coordination FROM p JOIN cn USING (t, id))"), O.sums("b", "pairs", {"a": "w*coordination", "s": "w"})], f"SELECT {KEY_SQL}, " + O.rnd("CASE WHEN s = 0 THEN 0 ELSE a / s END", "coordination_number") + " FROM b"))
+def cg_coordination(spark: SparkSession, d: str) -> DataFrame:
+    p = X.particles(spark, d)
+    rows = p.join(C.coordination(C.deduplicated(X.contacts(spark, d)), p), ["t", "id"])
+    return Fields(rows, X.LATTICE, Kernel("Lucy", X.CUTOFF)).base.select(*KEY, R("coordination_number", "coordination_number"))
+
+
+# sums of contacts
+
+_CONTACT_BASE = [O.particles(), O.grid(), O.keys(False), *O.contacts(), *O.contact_pairs()]
+
+
+@_query(O.query(_CONTACT_BASE, "SELECT CAST(node AS BIGINT) AS node, count(*) AS n, " + O.rnd("sum(wint)", "total", 6) + ", " + O.rnd("max(wint)", "largest", 6) + " FROM cp GROUP BY node"))
+def cg_contact_weights(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d, with_contacts=True).contact_pairs.groupBy("node").agg(F.count("*").alias("n"), R(F.sum("wint"), "total", 6), R(F.max("wint"), "largest", 6))
+
+
+@_query(O.query([*_CONTACT_BASE, O.contact_sums()], f"SELECT {KEY_SQL}, " + ", ".join(O.rnd(f"c{p}", f"contact_{p}", 6) for p in PAIRS) + " FROM ct"))
+def cg_contact_tensor(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d, with_contacts=True).contact.select(*KEY, *[R(f"c_{p}", f"contact_{p}", 6) for p in PAIRS])
+
+
+@_query(O.query([O.particles(), O.grid(), O.keys(True), *O.contacts(), *O.contact_pairs(), O.contact_sums(True)], f"SELECT {KEY_SQL}, " + ", ".join(O.rnd(f"c{p}", f"contact_{p}", 6) for p in PAIRS) + " FROM ct"))
+def cg_tensor_poly(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d, True, True).contact.select(*KEY, *[R(f"c_{p}", f"contact_{p}", 6) for p in PAIRS])
+
+
+_UNIT = {a: f"(d{a}/nullif(sqrt(dx*dx+dy*dy+dz*dz),0))" for a in AXES}
+
+
+@_query(O.query([*_CONTACT_BASE, O.sums("fb", "cp", {f"f{p}": f"wint*volume*{_UNIT[p[0]]}*{_UNIT[p[1]]}" for p in PAIRS})], f"SELECT {KEY_SQL}, " + ", ".join(O.rnd(f"f{p}", f"fabric_{p}", 9) for p in PAIRS) + " FROM fb"))
+def cg_fabric_tensor(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d, with_contacts=True).fabric.select(*KEY, *[R(f"fab_{p}", f"fabric_{p}") for p in PAIRS])
+
+
+@_query(O.query([O.particles(), *O.contacts()], "SELECT CAST(t AS INTEGER) AS t, " + ", ".join(O.rnd(f"avg({_UNIT[p[0]]}*{_UNIT[p[1]]}) - {O.lit(1.0 / 3.0 if p[0] == p[1] else 0.0)}", f"fabric_{p}") for p in PAIRS) + " FROM d GROUP BY t"))
+def bulk_fabric_tensor(spark: SparkSession, d: str) -> DataFrame:
+    return bulk_fabric(_fields(spark, d, with_contacts=True).directed).select("t", *[R(f"fabric_{p}", f"fabric_{p}") for p in PAIRS])
+
+
+# gradients
+
+_TN = "CAST(t AS INTEGER) AS t, CAST(node AS BIGINT) AS node"
+
+
+@_query(O.query([*O.base(), O.VELOCITY, O.gradient()], f"SELECT {_TN}, " + ", ".join(O.rnd(f"g{p}", f"gradient_{p}", 7) for p in PAIRS) + " FROM gr"))
+def cg_velocity_gradient_fd(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d).gradient.select("t", "node", *[R(f"g_{p}", f"gradient_{p}", 7) for p in PAIRS])
+
+
+def _lsq(mode: str):
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return _fields(spark, d, gradient_method="least_squares", lsq_mode=mode).gradient.select("t", "node", *[R(f"g_{p}", f"gradient_{p}", 6) for p in PAIRS])
+
+    f.__name__ = "cg_velocity_gradient_lsq" + ("" if mode == "corrected" else f"_{mode}")
+    return _query(O.query([*O.base(), O.VELOCITY, *O.lsq(mode)], f"SELECT {_TN}, " + ", ".join(O.rnd(f"g{p}", f"gradient_{p}", 6) for p in PAIRS) + " FROM lg"))(f)
+
+
+_lsq("corrected")
+_lsq("reference")
+
+
+@_query(O.query([*O.base(), O.VELOCITY, O.gradient(), O.shear()], f"SELECT {_TN}, " + ", ".join(O.rnd(f"e{p}", f"shear_rate_{p}", 7) for p in PAIRS) + " FROM sh"))
+def cg_shear_rate(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d).shear.select("t", "node", *[R(f"e_{p}", f"shear_rate_{p}", 7) for p in PAIRS])
+
+
+_SHEAR = {"mxy": "xy_mag", "mxyz": "xyz_mag", "dxy": "xy_dev_mag", "dxyz": "xyz_dev_mag"}
+
+
+@_query(O.query([*O.base(), O.VELOCITY, O.gradient(), O.shear()], f"SELECT {_TN}, " + ", ".join(O.rnd(k, f"shear_rate_{v}", 7) for k, v in _SHEAR.items()) + " FROM sh"))
+def cg_shear_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d).shear.select("t", "node", *[R(f"shear_rate_{v}", f"shear_rate_{v}", 7) for v in _SHEAR.values()])
+
+
+# second pass
+
+
+def _second(name: str, phased: bool):
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return _fields(spark, d, phased).kinetic_and_fluctuation.select(*KEY, *[R(f"{k}_{p}", f"{n}_{p}", 7) for k, n in (("k", "kinetic"), ("q", "fluctuation")) for p in PAIRS])
+
+    f.__name__ = name
+    cols = ", ".join(O.rnd(f"{k}{p}", f"{n}_{p}", 7) for k, n in (("k", "kinetic"), ("q", "fluctuation")) for p in PAIRS)
+    return _query(O.query([*O.base(phased), O.VELOCITY, O.gradient(), *O.second(phased)], f"SELECT {KEY_SQL}, {cols} FROM kq"))(f)
+
+
+_second("cg_fluctuation_tensor", False)
+_second("cg_kinetic_poly", True)
+
+
+@_query(O.query([*O.base(), O.VELOCITY, O.gradient(), *O.second()], f"SELECT {KEY_SQL}, " + ", ".join(O.rnd(f"k{p}", f"kinetic_{p}", 7) for p in PAIRS) + " FROM kq"))
+def cg_kinetic_tensor(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d).kinetic.select(*KEY, *[R(f"k_{p}", f"kinetic_{p}", 7) for p in PAIRS])
+
+
+# stress and what follows from it
+
+
+@_query(O.query(O.stress(), f"SELECT {KEY_SQL}, " + ", ".join([O.rnd(f"s{p}", f"stress_{p}", 5) for p in PAIRS] + [O.rnd("smag", "stress_mag", 5), O.rnd("sdev", "stress_dev_mag", 5), O.rnd("sdevxy", "stress_xy_dev_mag", 5)]) + " FROM st"))
+def cg_total_stress(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d, with_contacts=True).stress.select(*KEY, *[R(f"s_{p}", f"stress_{p}", 5) for p in PAIRS], R("s_mag", "stress_mag", 5), R("sdev_mag", "stress_dev_mag", 5), R("sdevxy_mag", "stress_xy_dev_mag", 5))
+
+
+_P = {"xyz": "pxyz", "xy": "pxy", "x": "p_x", "y": "p_y", "z": "p_z"}
+
+
+@_query(O.query(O.stress(), f"SELECT {KEY_SQL}, " + ", ".join(O.rnd(v, f"pressure_{k}", 5) for k, v in _P.items()) + " FROM st"))
+def cg_pressure(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d, with_contacts=True).stress.select(*KEY, *[R(f"pressure_{k}", f"pressure_{k}", 5) for k in _P])
+
+
+_TEMPERATURE = {"xyz": ("qxx+qyy+qzz", "3e0*rho")} | {a: (f"q{a}{a}", "rho") for a in AXES}
+
+
+def _temperature(name: str, phased: bool):
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return _fields(spark, d, phased).temperature.select(*KEY, *[R(f"granular_temperature_{k}", f"temperature_{k}", 8) for k in _TEMPERATURE])
+
+    f.__name__ = name
+    cols = ", ".join(O.rnd(f"CASE WHEN rho = 0 THEN 0 ELSE ({a}) / ({b}) END", f"temperature_{k}", 8) for k, (a, b) in _TEMPERATURE.items())
+    return _query(O.query([*O.base(phased), O.VELOCITY, O.gradient(), *O.second(phased)], f"SELECT {KEY_SQL}, {cols} FROM kq JOIN (SELECT t, node, phase, rho FROM b) USING (t, node, phase)"))(f)
+
+
+_temperature("cg_granular_temperature", False)
+_temperature("cg_granular_temperature_poly", True)
+
+
+def _inertial(name: str, phased: bool):
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        rows = _fields(spark, d, phased, True).inertial
+        return rows.select(*KEY, *[R(c, c.replace("inertial_number_", "i_"), 4) for c in rows.columns if c not in KEY])
+
+    f.__name__ = name
+    cols = []
+    for size in ("d43", "d32"):
+        for p, v in (("xyz", "pxyz"), ("xy", "pxy"), ("y", "p_y")):
+            dd, rr = (f"CASE WHEN phase = 0 THEN {size} ELSE ph.diameter END", "CASE WHEN phase = 0 THEN dp ELSE ph.density END")
+            cols.append(O.rnd(f"CASE WHEN {v} = 0 THEN 0 ELSE mxy * ({dd}) * sqrt({rr}) / sqrt(abs({v})) END", f"i_Sxy_P{p}_{size}", 4))
+    phases = "ph AS (SELECT CAST(row_number() OVER (ORDER BY diameter, density) AS INTEGER) AS pn, diameter, density FROM p GROUP BY diameter, density)"
+    return _query(O.query([*O.stress(phased), O.shear(), phases], f"SELECT {KEY_SQL}, {', '.join(cols)} FROM st JOIN (SELECT t, node, phase, d43, d32, dp FROM v) USING (t, node, phase) JOIN sh USING (t, node) LEFT JOIN ph ON ph.pn = phase"))(f)
+
+
+_inertial("cg_inertial_number", False)
+_inertial("cg_inertial_number_poly", True)
+
+
+@_query(O.query(O.stress(), f"SELECT {KEY_SQL}, " + ", ".join(O.rnd(f"{v} / nullif({p}, 0)", f"mu_{k}_P{q}", 4) for k, v in (("Dxy", "sdevxy"), ("Dxyz", "sdev"), ("01", "sxy")) for q, p in (("xyz", "pxyz"), ("xy", "pxy"), ("y", "p_y"))) + " FROM st"))
+def cg_friction(spark: SparkSession, d: str) -> DataFrame:
+    rows = _fields(spark, d, with_contacts=True).friction
+    return rows.select(*KEY, *[R(c, c.replace("frictional_coefficient_", "mu_"), 4) for c in rows.columns if c not in KEY])
+
+
+# slices, profiles, sweeps, sinks
+
+
+@_query(O.bands(0.0, 1.0, 0.1))
+def slices_temperature(spark: SparkSession, d: str) -> DataFrame:
+    rows = L.band_temperature(X.particles(spark, d), 0.0, 1.0, 0.1)
+    return rows.select("t", "k", *[R(c, c) for c in rows.columns if c not in ("t", "k")])
+
+
+@_query(O.query([*O.base(), O.VELOCITY], "SELECT CAST(t AS INTEGER) AS t, CAST(phase AS INTEGER) AS phase, " + O.rnd(f"iy * {O.lit(0.1)}", "coord") + ", " + ", ".join(O.rnd(f"coalesce(sum({s}), 0) * {O.lit(0.1 * 0.1)}", n, 8) for n, s in (("rho", "rho"), ("phi", "phi"), ("v_x", "vx"))) + " FROM v GROUP BY t, phase, iy"))
+def profile_y(spark: SparkSession, d: str) -> DataFrame:
+    return P.integrated(_fields(spark, d).velocity, X.LATTICE, ["rho", "phi", "v_x"]).select("t", "phase", R("coord", "coord"), *[R(n, n, 8) for n in ("rho", "phi", "v_x")])
+
+
+@_query(O.query([*O.base(), "n AS (SELECT iy * 0.1e0 AS y, rho FROM b WHERE abs(ix * 0.1e0 - 0.5e0) < 0.15e0)", "e AS (SELECT min(y) AS low, max(y) AS high FROM n)"], "SELECT CAST(floor((y - low) / ((high - low) / 7e0)) AS INTEGER) + 1 AS bin, " + O.rnd("avg(y)", "coord") + ", " + O.rnd("avg(rho)", "value", 8) + " FROM n, e WHERE y < high GROUP BY 1"))
+def profile_binned(spark: SparkSession, d: str) -> DataFrame:
+    _, places = X.LATTICE._columns()
+    rows = P.binned(_fields(spark, d).base.withColumns(places), "rho", 0.5, 0.15, 7)
+    return rows.select("bin", R("coord", "coord"), R("value", "value", 8))
+
+
+@_query(O.query([O.particles(3), O.grid(), O.keys(False), O.pairs(), O.sums("b", "pairs", {"rho": "w*mass", "px": "w*vx*mass", "py": "w*vy*mass", "pz": "w*vz*mass"})], "SELECT CAST(node AS BIGINT) AS node, CAST(phase AS INTEGER) AS phase, " + O.rnd("log10(CASE WHEN avg(rho) > 0 THEN avg(rho) END)", "log_rho", 8) + ", " + O.rnd("avg(sqrt(px*px+py*py+pz*pz))", "speed", 8) + " FROM b WHERE t >= 1 GROUP BY node, phase"))
+def profile_time_mean(spark: SparkSession, d: str) -> DataFrame:
+    rows = Fields(X.particles(spark, d, 3), X.LATTICE, Kernel("Lucy", X.CUTOFF)).base.withColumn("speed", P.magnitude("p_x", "p_y", "p_z"))
+    late = P.time_mean(rows, ["rho"], first=1, log=True).join(P.time_mean(rows, ["speed"], first=1), ["node", "phase"])
+    return late.select("node", "phase", R("rho", "log_rho", 8), R("speed", "speed", 8))
+
+
+_SWEEP = [0.1, 0.15, 0.2]
+
+
+def _sweep_sql() -> str:
+    lattice = W.centred_lattice((0.5, 0.5, 0.5), 0.2)
+    parts = [O.particles(), O.grid(lattice), *O.contacts()]
+    union = []
+    for n, w in enumerate(_SWEEP):
+        k = Kernel("Lucy", 2.0 * w * 1.0)
+        parts += [O.pairs(k, "p", f"pa{n}"), *[x.replace("cp0", f"cq{n}").replace("cp AS", f"cp{n} AS") for x in O.contact_pairs(k)]]
+        union.append(f"SELECT 0 AS t, {O.rnd(O.lit(k.c / 2.0), 'w')}, {O.rnd(O.lit(k.c), 'c')}, g.node, {O.rnd('coalesce(rho, 0)', 'rho', 7)}, {O.rnd('coalesce(phi, 0)', 'phi')}, {O.rnd('coalesce(px, 0)', 'p_x', 7)}, {O.rnd('coalesce(cxy, 0)', 'c_xy', 5)} FROM g LEFT JOIN (SELECT node, sum(w*mass) AS rho, sum(w*volume) AS phi, sum(w*vx*mass) AS px FROM pa{n} GROUP BY node) a USING (node) LEFT JOIN (SELECT node, sum(wint*fx*bry) AS cxy FROM cp{n} GROUP BY node) q USING (node)")
+    return O.query(parts, "SELECT CAST(t AS INTEGER) AS t, w, c, CAST(node AS BIGINT) AS node, rho, phi, p_x, c_xy FROM (" + " UNION ALL ".join(union) + ")")
+
+
+@_query(_sweep_sql())
+def sweep_widths(spark: SparkSession, d: str) -> DataFrame:
+    f = _fields(spark, d, with_contacts=True)
+    rows = W.sweep(f.particles, (0.5, 0.5, 0.5), 1.0, _SWEEP, directed=f.directed, base=0.2)
+    return rows.select("t", R("w", "w"), R("c", "c"), "node", R("rho", "rho", 7), R("phi", "phi"), R("p_x", "p_x", 7), R("c_xy", "c_xy", 5))
+
+
+@_query(O.query([O.particles(3), O.grid(), O.keys(False), O.pairs(), O.sums("b", "pairs", {"rho": "w*mass", "phi": "w*volume"})], f"SELECT {KEY_SQL}, " + O.rnd("rho", "density_mixture") + ", " + O.rnd("phi", "volume_fraction") + " FROM b"))
+def write_read_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Three steps written, one of them written again, and read back."""
+    out = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/cube-{uuid.uuid4().hex}"
+    rows = Fields(X.particles(spark, d, 3), X.LATTICE, Kernel("Lucy", X.CUTOFF)).table(["density_mixture", "volume_fraction"])
+    cube = sinks.Cube(out)
+    cube.write_grid(X.LATTICE.frame(spark))
+    cube.write_steps(rows)
+    cube.write_steps(rows.where("t = 1"))
+    return cube.read(spark).select(*KEY, R("density_mixture", "density_mixture"), R("volume_fraction", "volume_fraction"))
+
+
+@_query()
+def cg_all_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every field in one table."""
+    p = X.particles(spark, d)
+    rows = p.join(C.coordination(C.deduplicated(X.contacts(spark, d)), p), ["t", "id"])
+    f = _fields(spark, d, True, True)
+    every = "volume_fraction density_mixture density_particle momentum_density velocity velocity_gradient kinetic_tensor contact_tensor total_stress_tensor pressure granular_temperature shear_rate_tensor inertial_number frictional_coefficient d43 d32 coordination_number fabric_tensor".split()
+    return Fields(rows, f.grid, f.kernel, f.directed, 3, f.phase_table).table(every)
