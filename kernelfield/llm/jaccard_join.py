@@ -3,13 +3,14 @@
 Tokens are 64-bit hashes of word shingles. Documents with equal sets are one class; classes link when
 100 * intersection >= percent * union.
 
-1. Stars: classes that share one of their least tokens are compared with the first class of that group, which
-   joins most large groups of near copies by as many comparisons as members. Components of these links are kept as labels.
+1. Neighbours: classes that share one of their least tokens are compared with a few classes beside them in an order of
+   sketches, in turns, each between components of the links so far. This joins most of a large group of near copies by a few
+   comparisons for each member. It is a start only: what it misses the next step finds.
 2. Prefixes: in an order with frequent tokens last, linked classes share a token within their first n - ceil(t n) + 1
    tokens. If the first shared one is rare, the single-token index finds the pair. Otherwise all shared tokens are frequent, and with prefixes
    one token longer two of them are shared: pairs of frequent tokens are indexed for that. Frequent is a
-   class of hash slots found in more than frequent components, counted over all prefixes. Pairs within one component need no comparison, as
-   the result is the components, so an index entry costs only its pairs across components, after filters by size and position.
+   class of hash slots whose tokens are in more than frequent components, counted over all tokens. Pairs within one component need no comparison, as
+   the result is the components, so an index entry costs only its pairs across components, after filters by size, position and parity bits.
 3. Every candidate is verified on the whole sets, which are rebuilt from the compressed texts.
 
 Texts travel compressed, in a table bucketed by class; index entries travel as packed blocks, dealt by token. Components
@@ -32,9 +33,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelfield.llm.common import plain_text, table, written
+from kernelfield.llm.common import lean, plain_text, table, trim, written
 
-WORDS, PERCENT, FREQUENT = 5, 80, 50
+WORDS, PERCENT, FREQUENT = 5, 80, 10
+#: Tokens of a sketch, and those of them by which near() groups.
+SKETCH, KEYS = 16, 6
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 _EDGES = "a bigint, b bigint"
 
@@ -107,14 +110,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class Store:
-    """The classes of a table of documents: cls, n, first (the least id), least tokens s1 and s2, packed (compressed text)."""
+    """The classes of a table of documents: cls, n, first (the least id), sketch (its least tokens), packed (compressed text)."""
 
     def __init__(self, docs: DataFrame, text: str, key: str, words: int, percent: int, bucket_bytes: int):
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
         self.rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), plain_text(text).cast("binary").alias("raw"))
         self.bytes = self.rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
         self.buckets = max(8, -(-self.bytes // bucket_bytes))
-        signed = self._signed(True).where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("packed").alias("packed"))
+        signed = self._signed(True).where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("packed").alias("packed"))
         name = f"kf_classes_{uuid.uuid4().hex}"
         signed.repartition(self.buckets, "cls").write.bucketBy(self.buckets, "cls").format("parquet").saveAsTable(name)
         self.classes = self.spark.table(name)
@@ -128,12 +131,11 @@ class Store:
                 out = []
                 for raw in batch.column(1).to_pylist():
                     t = shingles(raw)
-                    signed = t[:2].view(np.int64).tolist() if len(t) else [0]
-                    out.append((_class_of(t), len(t), signed[0], signed[-1], pack.compress(raw) if packed else b""))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[k], pa.int64()) for k in range(4)], pa.array(columns[4], pa.binary())], ["doc_id", "cls", "n", "s1", "s2", "packed"])
+                    out.append((_class_of(t), len(t), t[:SKETCH].tobytes() if packed else b"", pack.compress(raw) if packed else b""))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[k], pa.int64()) for k in range(2)], *[pa.array(columns[k], pa.binary()) for k in (2, 3)]], ["doc_id", "cls", "n", "sketch", "packed"])
 
-        return self.rows.mapInArrow(run, "doc_id bigint, cls bigint, n bigint, s1 bigint, s2 bigint, packed binary")
+        return self.rows.mapInArrow(lean(run), "doc_id bigint, cls bigint, n bigint, sketch binary, packed binary")
 
     def labels(self) -> DataFrame:
         """doc_id, cls, n of every row."""
@@ -159,100 +161,155 @@ class Store:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
         joined = right.join(left, (F.col("a") == F.col("of")) & (F.col("chunk") == F.col("part"))).select("a", "b", "x", "y")
-        return joined.mapInArrow(run, _EDGES)
+        return joined.mapInArrow(lean(run), _EDGES)
 
-    def stars(self) -> DataFrame:
-        """Edges from the first class that has a least token to the other classes that have it."""
-        signed = self.classes.select("cls", "n", F.explode(F.array_distinct(F.array("s1", "s2"))).alias("s"))
-        centre = signed.groupBy("s").agg(F.min(F.struct("cls", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select(F.col("s").alias("of"), F.col("c.cls").alias("a"), F.col("c.n").alias("an"))
-        sizes = 100 * F.least("n", "an") >= self.percent * F.greatest("n", "an")
-        return signed.join(centre, F.col("s") == F.col("of")).where((F.col("cls") != F.col("a")) & sizes).select("a", F.col("cls").alias("b")).distinct()
+    def near(self, comps: DataFrame | None, turn: int) -> DataFrame:
+        """Likely links (a, b) between components, at most a few for each class: classes that share one of their least KEYS tokens, next to each other in an order of their sketches that changes with turn."""
+        rows = self.classes.select("cls", "n", "sketch")
+        if comps is None:
+            rows = rows.select("cls", "n", F.col("cls").alias("comp"), "sketch")
+        else:
+            rows = rows.join(comps, F.col("cls") == F.col("node"), "left").select("cls", "n", F.coalesce("comp", "cls").alias("comp"), "sketch")
+        buckets, percent = self.buckets, self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pending = []
+                for cls, n, comp, sketch in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    t = np.frombuffer(sketch, np.uint64)
+                    pending.append((cls, n, comp, t[:KEYS], np.zeros(min(KEYS, len(t)), np.int64), t.astype(np.uint32)))
+                if pending:
+                    yield _dealt(pending, buckets, True)
+
+        def pairs(found: pa.Table) -> pa.Table:
+            a, b = _neighbours(found["data"].to_pylist(), percent, turn)
+            trim()
+            return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        return rows.mapInArrow(lean(run), "bucket bigint, data binary").groupBy("bucket").applyInArrow(pairs, _EDGES).distinct()
 
     def prefixes(self, comps: DataFrame, frequent: int) -> DataFrame:
         """Candidates (a, b) across components, from the token-combination index."""
         named = self.classes.select("cls", "n", "packed").join(comps, F.col("cls") == F.col("node"), "left").select("cls", "n", F.coalesce("comp", "cls").alias("comp"), "packed")
         words, percent, buckets = self.words, self.percent, self.buckets
-        # slots: twice the prefix tokens to be expected (a shingle takes some six bytes), within bounds
-        bits = int(np.clip(np.ceil(np.log2(max(2, self.bytes / 6 * (100 - percent) / 100 * 2))), 16, 30))
+        # about as many slots as tokens: a token takes some six bytes
+        bits = int(np.clip(np.ceil(np.log2(max(2, self.bytes / 6))), 16, 33))
         hot = self.spark.sparkContext.broadcast(self._frequent(named, bits, frequent))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, unpack = Shingler(words), zstandard.ZstdDecompressor()
-            slots = None if hot.value is None else np.unpackbits(hot.value)
+            slots = hot.value
             pending, held = [], 0
-            for batch in batches:
+            for batch in (b.slice(s, 512) for b in batches for s in range(0, b.num_rows, 512)):
                 for cls, n, comp, packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                    tokens, place = indexed(shingles(unpack.decompress(packed)), slots, bits, percent)
-                    pending.append((cls, n, comp, tokens, place))
+                    own = shingles(unpack.decompress(packed))
+                    tokens, place, combined = indexed(own, slots, bits, percent)
+                    pending.append((cls, n, comp, tokens, place, parity(own) if combined else np.zeros(0, np.uint32)))
                     held += len(tokens)
-                    if held > 2_000_000:
-                        yield _dealt(pending, buckets)
+                    if held > 1_000_000:
+                        yield _dealt(pending, buckets, True)
                         pending, held = [], 0
             if pending:
-                yield _dealt(pending, buckets)
+                yield _dealt(pending, buckets, True)
 
         def pairs(found: pa.Table) -> pa.Table:
-            a, b = _candidates([x for x in found["data"].to_pylist()], percent)
+            a, b = _candidates(found["data"].to_pylist(), percent)
+            trim()
             return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        return named.mapInArrow(run, "bucket bigint, data binary").groupBy("bucket").applyInArrow(pairs, _EDGES).distinct()
+        return named.mapInArrow(lean(run), "bucket bigint, data binary").groupBy("bucket").applyInArrow(pairs, _EDGES).distinct()
 
     def _frequent(self, named: DataFrame, bits: int, frequent: int) -> np.ndarray | None:
-        """A bitmap of 2^bits slots: those whose prefix tokens are in more components than frequent, and than 8 times the mean."""
-        words, percent = self.words, self.percent
+        """A bitmap of 2^bits slots: those whose tokens are in more components than frequent, and than 4 times the mean. Of a component its last 8 bits count."""
+        words, buckets = self.words, self.buckets
+        width = -(-(1 << bits) // buckets)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, unpack = Shingler(words), zstandard.ZstdDecompressor()
-            slot, comp = [], []
-            for batch in batches:
-                for n, c, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    t = shingles(unpack.decompress(packed))[: n - least_overlap(n, percent) + 1]
-                    slot.append((t * _MIX[0] >> np.uint64(64 - bits)).astype(np.int64))
-                    comp.append(np.full(len(t), c, np.int64))
-            s, c = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (slot, comp))
-            order = np.lexsort((c, s))
-            s, c = s[order], c[order]
-            new = np.concatenate(([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1]))) if len(s) else np.zeros(0, bool)
-            found, n = np.unique(s[new], return_counts=True)
-            some = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(found[some], -1), pa.int64()), pa.array(np.append(n[some], len(s)), pa.int64())], ["slot", "n"])
-
-        sums = named.select("n", "comp", "packed").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-        counts = sums.where((F.col("slot") < 0) | (F.col("n") > frequent)).collect()
-        total = next((r[1] for r in counts if r[0] < 0), 0)
-        least = max(frequent, 8 * total >> bits)
-        some = [r[0] for r in counts if r[0] >= 0 and r[1] > least]
-        if not some:
+            codes, held = [], 0
+
+            def flushed() -> pa.RecordBatch:
+                code = np.unique(np.concatenate(codes))
+                edge = np.searchsorted(code >> np.uint64(8), np.arange(buckets + 1, dtype=np.uint64) * np.uint64(width))
+                some = [int(k) for k in np.flatnonzero(np.diff(edge))]
+                return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([_packed_sorted(code[edge[k] : edge[k + 1]]) for k in some], pa.binary())], ["bucket", "data"])
+
+            for batch in (b.slice(s, 512) for b in batches for s in range(0, b.num_rows, 512)):
+                for comp, packed in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                    codes.append(_slot(shingles(unpack.decompress(packed)), bits) << np.uint64(8) | np.uint64(comp & 255))
+                    held += len(codes[-1])
+                    if held > 3_000_000:
+                        yield flushed()
+                        codes, held = [], 0
+            if held:
+                yield flushed()
+
+        def count(found: pa.Table) -> pa.Table:
+            code = np.unique(np.concatenate([_unpacked_sorted(x) for x in found["data"].to_pylist()]))
+            slot, n = np.unique(code >> np.uint64(8), return_counts=True)
+            trim()
+            return pa.table([pa.array([len(code)], pa.int64()), pa.array([_packed_sorted(slot[n > frequent])], pa.binary())], ["total", "slots"])
+
+        parts = named.select("comp", "packed").mapInArrow(lean(run), "bucket bigint, data binary").groupBy("bucket").applyInArrow(count, "total bigint, slots binary").collect()
+        if sum(r[0] for r in parts) / (1 << bits) * 4 > frequent:
+            raise ValueError("more slots are needed for so many tokens")
+        some = np.concatenate([_unpacked_sorted(r[1]) for r in parts]) if parts else np.zeros(0, np.uint64)
+        if not len(some):
             return None
-        hot = np.zeros(1 << bits, np.uint8)
-        hot[some] = 1
-        return np.packbits(hot)
+        hot = np.zeros((1 << bits) // 8, np.uint8)
+        np.bitwise_or.at(hot, (some >> np.uint64(3)).astype(np.int64), (1 << (some & np.uint64(7))).astype(np.uint8))
+        return hot
+
+
+def _slot(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return tokens * _MIX[0] >> np.uint64(64 - bits)
+
 
+def _packed_sorted(values: np.ndarray) -> bytes:
+    """Sorted numbers as differences, their bytes by place."""
+    planes = np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
-def indexed(tokens: np.ndarray, slots: np.ndarray | None, bits: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index entries of a set: rare tokens of the prefix with their places, and pairs of frequent tokens of the prefix one longer, with place 0."""
+
+def _unpacked_sorted(block: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """512 parities of a set: two sets differ in at least as many elements as their parities do."""
+    return np.packbits(np.bincount((tokens * _MIX[1] >> np.uint64(55)).astype(np.int64), minlength=512) & 1).view(np.uint32)
+
+
+def indexed(tokens: np.ndarray, slots: np.ndarray | None, bits: int, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Index entries of a set: rare tokens of the prefix with their places, and pairs of frequent tokens of the prefix one longer, with place 0; whether there are pairs."""
     n = len(tokens)
     length = n - least_overlap(n, percent) + 1
     if slots is None:
-        return tokens[:length], np.arange(length)
-    is_hot = slots[(tokens * _MIX[0] >> np.uint64(64 - bits)).astype(np.int64)].astype(bool)
+        return tokens[:length], np.arange(length), False
+    slot = _slot(tokens, bits)
+    is_hot = (slots[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
     rare, hot = tokens[~is_hot], tokens[is_hot]
     single = rare[:length]
     some = hot[: max(0, length + 1 - len(rare))]
     if n == 1 or least_overlap(n, percent) < 2:  # too few shared tokens for a pair of them
         some_single = hot[: max(0, length - len(rare))]
-        return np.concatenate((single, some_single)), np.arange(len(single) + len(some_single))
+        return np.concatenate((single, some_single)), np.arange(len(single) + len(some_single)), False
     i, j = np.triu_indices(len(some), 1)
     combined = (some[i] * _MIX[1] ^ some[j]) * _MIX[0]
-    return np.concatenate((single, combined)), np.concatenate((np.arange(len(single)), np.zeros(len(combined), np.int64)))
+    return np.concatenate((single, combined)), np.concatenate((np.arange(len(single)), np.zeros(len(combined), np.int64))), len(combined) > 0
 
 
-def _dealt(pending: list[tuple], buckets: int) -> pa.RecordBatch:
-    """Index entries as a block for each bucket: tokens in order as differences, each with the number of its class in the block's list."""
+def _dealt(pending: list[tuple], buckets: int, sketches: bool = False) -> pa.RecordBatch:
+    """Index entries as a block for each bucket: tokens in order as differences, each with the number of its class in the block's list, which may hold sketches."""
     tokens = np.concatenate([x[3] for x in pending])
     place = np.concatenate([x[4] for x in pending]).astype(np.uint32)
     who = np.repeat(np.arange(len(pending), dtype=np.uint32), [len(x[3]) for x in pending])
     head = np.array([x[:3] for x in pending], np.int64)
+    if sketches:
+        sketch = np.zeros((len(pending), SKETCH), np.uint32)
+        for row, x in zip(sketch, pending, strict=True):
+            row[: len(x[5])] = x[5]
     bucket = (tokens * _MIX[1] >> np.uint64(20)) % np.uint64(buckets)
     order = np.lexsort((tokens, bucket))
     edge = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
@@ -260,18 +317,18 @@ def _dealt(pending: list[tuple], buckets: int) -> pa.RecordBatch:
     for k in np.flatnonzero(np.diff(edge)):
         own = order[edge[k] : edge[k + 1]]
         used, number = np.unique(who[own], return_inverse=True)
-        parts = (np.array([len(used), len(own)], np.int64), head[used].T, np.diff(tokens[own], prepend=np.uint64(0)), number.astype(np.uint32), place[own])
+        parts = (np.array([len(used), len(own)], np.int64), head[used].T, np.diff(tokens[own], prepend=np.uint64(0)), number.astype(np.uint32), place[own], *([sketch[used]] if sketches else []))
         ids.append(int(k))
         blocks.append(zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(p).tobytes() for p in parts)))
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "data"])
 
 
-def _candidates(blocks: list[bytes], percent: int, step: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes of different components that share an entry and pass the filters by size and place."""
-    heads, tokens, who, place, base = [], [], [], [], 0
+def _entries(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """head (cls, n, comp by class), token, class and place by entry, sketches by class if there are any."""
+    heads, tokens, who, place, sketches, base = [], [], [], [], [], 0
     for block in blocks:
         raw = zstandard.ZstdDecompressor().decompress(block)
-        c, m = np.frombuffer(raw, np.int64, 2)
+        c, m = (int(x) for x in np.frombuffer(raw, np.int64, 2))
         at = 16
         heads.append(np.frombuffer(raw, np.int64, 3 * c, at).reshape(3, c))
         at += 24 * c
@@ -279,8 +336,38 @@ def _candidates(blocks: list[bytes], percent: int, step: int = 2_000_000) -> tup
         at += 8 * m
         who.append(np.frombuffer(raw, np.uint32, m, at).astype(np.int64) + base)
         place.append(np.frombuffer(raw, np.uint32, m, at + 4 * m).astype(np.int64))
-        base += int(c)
-    head, token, who, place = np.concatenate(heads, 1), np.concatenate(tokens), np.concatenate(who), np.concatenate(place)
+        at += 8 * m
+        sketches.append(np.frombuffer(raw, np.uint32, (len(raw) - at) // 4, at).reshape(c, -1))
+        base += c
+    return np.concatenate(heads, 1), np.concatenate(tokens), np.concatenate(who), np.concatenate(place), np.concatenate(sketches)
+
+
+def _neighbours(blocks: list[bytes], percent: int, turn: int, reach: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of entries of one token and different components, up to reach apart in the order of their sketches, that share half of these."""
+    (cls, n, comp), token, who, _, sketch = _entries(blocks)
+    turned = np.roll(sketch, -3 * turn, 1) * np.uint32(2 * turn + 1)
+    order = np.lexsort((*turned[who].T[::-1], token))
+    token, who = token[order], who[order]
+    arrays = [np.zeros((0, 2), np.int64)]
+    for k in range(1, reach + 1):
+        x = np.flatnonzero(token[k:] == token[:-k])
+        i, j = who[x], who[x + k]
+        fine = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[fine], j[fine]
+        for s in range(0, len(i), 100_000):
+            p, q = i[s : s + 100_000], j[s : s + 100_000]
+            both = (sketch[p][:, :, None] == sketch[q][:, None, :]).any(2).sum(1)
+            alike = 2 * both >= np.minimum(SKETCH, np.minimum(n[p], n[q]))
+            a, b = cls[p[alike]], cls[q[alike]]
+            arrays.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+    pairs = np.unique(np.concatenate(arrays), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _candidates(blocks: list[bytes], percent: int, step: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes of different components that share an entry and pass the filters by size and place."""
+    head, token, who, place, parities = _entries(blocks)
+    known = parities.any(1)
     cls, n, comp = head
     order = np.lexsort((comp[who], token))
     token, who, place = token[order], who[order], place[order]
@@ -295,7 +382,6 @@ def _candidates(blocks: list[bytes], percent: int, step: int = 2_000_000) -> tup
     count = end - after
     some = np.flatnonzero(count)
     upto = np.concatenate(([0], np.cumsum(count[some])))
-    found: set[tuple[int, int]] = set()
     arrays = []
     s = 0
     while s < len(some):
@@ -307,6 +393,11 @@ def _candidates(blocks: list[bytes], percent: int, step: int = 2_000_000) -> tup
         room = 1 + np.minimum(n[i] - place[x], n[j] - place[y]) - 1
         both = -(-percent * (n[i] + n[j]) // (100 + percent))
         fine = (100 * low >= percent * high) & (room >= both) & (cls[i] != cls[j])
+        i, j, both = i[fine], j[fine], both[fine]
+        pair = np.unique(np.minimum(i, j) * len(cls) + np.maximum(i, j), return_index=True)[1]
+        i, j, both = i[pair], j[pair], both[pair]
+        far = np.bitwise_count(parities[i] ^ parities[j]).sum(1)
+        fine = ~(known[i] & known[j]) | (far <= n[i] + n[j] - 2 * both)
         a, b = cls[i[fine]], cls[j[fine]]
         arrays.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
         s = e
@@ -314,11 +405,14 @@ def _candidates(blocks: list[bytes], percent: int, step: int = 2_000_000) -> tup
     return pairs[:, 0], pairs[:, 1]
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, bucket_bytes: int = 16 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, turns: int = 3, bucket_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs."""
     store = Store(docs, text, key, words, percent, bucket_bytes)
-    first = written(store.verified(store.stars()), "stars")
-    comps = components(first)
+    links, comps = None, None
+    for turn in range(turns):
+        found = written(store.verified(store.near(comps, turn)), "near")
+        links = found if links is None else links.unionByName(found)
+        comps = components(links)
     second = written(store.verified(store.prefixes(comps, frequent)), "links")
     # links join components of the first round, whose names are classes
     node, comp = comps.select(F.col("node").alias("x"), F.col("comp").alias("cx")), comps.select(F.col("node").alias("y"), F.col("comp").alias("cy"))
@@ -343,8 +437,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one that names it."""
     found = jaccard_components(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("__id"), "left_semi")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
 ORACLE = r"""
