@@ -273,10 +273,10 @@ def cg_velocity_gradient_fd(spark: SparkSession, d: str) -> DataFrame:
 
 def _lsq(mode: str):
     def f(spark: SparkSession, d: str) -> DataFrame:
-        return _fields(spark, d, gradient_method="least_squares", lsq_mode=mode).gradient.select("t", "node", *[R(f"g_{p}", f"gradient_{p}", 6) for p in PAIRS])
+        return _fields(spark, d, gradient_method="least_squares", lsq_mode=mode).gradient.select("t", "node", *[R(f"g_{p}", f"gradient_{p}", 3) for p in PAIRS])
 
     f.__name__ = "cg_velocity_gradient_lsq" + ("" if mode == "corrected" else f"_{mode}")
-    return _query(O.query([*O.base(), O.VELOCITY, *O.lsq(mode)], f"SELECT {_TN}, " + ", ".join(O.rnd(f"g{p}", f"gradient_{p}", 6) for p in PAIRS) + " FROM lg"))(f)
+    return _query(O.query([*O.base(), O.VELOCITY, *O.lsq(mode)], f"SELECT {_TN}, " + ", ".join(O.rnd(f"g{p}", f"gradient_{p}", 3) for p in PAIRS) + " FROM lg"))(f)
 
 
 _lsq("corrected")
