@@ -16,4 +16,4 @@ QUERIES = {
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-ORACLES = {"op4_warc": warc.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op9_topk_search": topk_search.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op4_warc": warc.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op9_topk_search": topk_search.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
