@@ -14,6 +14,7 @@ from kernelfield.operators import statistics as S
 from kernelfield.operators.fields import Fields
 from kernelfield.operators.slices import band_temperature
 from kernelfield.operators.sweep import sweep
+from kernelfield.sources import sinks
 
 
 @dataclass(frozen=True)
@@ -148,3 +149,26 @@ class CoarseGrainer:
         """Bulk fields around centre in the first step for many widths, as multiples of d43."""
         t0 = self.sample
         return sweep(t0, centre, self.statistics["d43"], multiples, self.config.kernel, self.directed.join(t0.select("t").distinct(), "t", "left_semi") if self.directed is not None else None, self.config.sensitivity, self.config.kernel_mode)
+
+    def write(self, path: str, images: str | None = None) -> sinks.Cube:
+        """The grid, the phases, the fields of every step and, if configured, the bands below path; with images also an image file for each step and phase in that folder of the driver."""
+        fields = self.fields()
+        cube = sinks.Cube(path)
+        cube.write_grid(self.grid.frame(self.spark))
+        if fields.phase_table is not None:
+            bulk = self.spark.range(1).select(F.lit(0).alias("phase"), F.lit(None).cast("double").alias("diameter"), F.lit(None).cast("double").alias("density"))
+            cube.write_phases(bulk.unionByName(fields.phase_table.select(F.col("phase").cast("int").alias("phase"), "diameter", "density")))
+        cube.write_steps(fields.table(self.config.fields))
+        if self.config.slices and self.grid.counts[1] > 1:
+            self.slices().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("t").parquet(f"{path}/slices")
+        if images is not None:
+            import os
+
+            os.makedirs(images, exist_ok=True)
+            done = cube.read(self.spark)
+            names = [n for n, kind in done.dtypes if kind == "double" and n not in G.AXES]
+            mode = "Polydisperse" if fields.phases else "Monodisperse"
+            for t, phase in sorted(tuple(r) for r in done.select("t", "phase").distinct().collect()):  # a file each, as viewers want them
+                arrays = sinks.step_arrays(done, self.grid, t, names, phase)
+                sinks.write_vti(f"{images}/CG_{self.config.kernel}_{mode}{'' if phase == 0 else f'_phase{phase}'}_{t:04d}.vti", self.grid, arrays)
+        return cube

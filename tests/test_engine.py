@@ -204,3 +204,15 @@ def test_profiles(spark):
     assert P.area_factor(G.lattice("y", {"y": (0, 1)}, 0.2, {"x": 0, "z": 0}), "y") == 1
     with pytest.raises(ValueError):
         P.area_factor(fixtures.LATTICE, "w")
+
+
+def test_engine_writes_all_outputs(spark, tmp_path):
+    p, c = fixtures.particles(spark, SF, 2), fixtures.contacts(spark, SF)
+    config = Config(fields=("density_mixture", "velocity"), automatic_grid=False, axes="xy", ranges={a: (0.2, 0.8) for a in "xy"}, transects={"z": 0.5}, width_multiple=8.0, phase_by="given", slices=True)
+    engine = CoarseGrainer(spark, p, c, config)
+    cube = engine.write(str(tmp_path / "out"), str(tmp_path / "img"))
+    assert cube.read_with_places(spark).count() == engine.grid.size * 4 * 2
+    assert cube.slice(spark, "x", 0).count() == engine.grid.counts[1] * 4 * 2
+    assert {r["label"] for r in spark.read.parquet(str(tmp_path / "out" / "phases")).select("label").collect()} >= {"Bulk"}
+    assert spark.read.parquet(str(tmp_path / "out" / "slices")).count() > 0
+    assert len(list((tmp_path / "img").iterdir())) == 8
