@@ -40,9 +40,10 @@ class Lattice:
         return spark.range(self.size).withColumnRenamed("id", "node").withColumns(index).withColumns(places)
 
     def over(self, keys: DataFrame) -> DataFrame:
-        """The rows of keys, each with all nodes."""
+        """The rows of keys, each with all nodes. Nodes are a distributed range; keys are a row for each step and phase, and so broadcast."""
         index, _ = self._columns()
-        return keys.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(self.size - 1)).cast("array<bigint>"))).withColumns(index)
+        nodes = keys.sparkSession.range(self.size).withColumnRenamed("id", "node").withColumns(index)
+        return nodes.crossJoin(F.broadcast(keys))
 
     def point(self, axis: str, i: int) -> float:
         k = AXES.index(axis)

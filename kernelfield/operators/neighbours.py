@@ -27,7 +27,7 @@ def match(points: DataFrame, grid: Lattice, c: float, position: tuple[str, str,
         raise ValueError("c must be positive")
     bounds = [_interval(F.col(p), o, h, n, c) for p, o, h, n in zip(position, grid.origin, grid.spacing, grid.counts, strict=True)]
     # a sequence from a larger to a smaller number would count down
-    out = points.where(F.expr("true"))
+    out = points
     for first, last in bounds:
         out = out.where(first <= last)
     square = F.lit(0.0)
