@@ -6,8 +6,8 @@ Tokens are 64-bit hashes of word shingles. Documents with equal sets are one cla
 1. Neighbours: classes that share one of their least tokens are compared with a few classes beside them in an order of
    sketches, in turns, each between components of the links so far. This joins most of a large group of near copies by a few
    comparisons for each member. It is a start only: what it misses the next step finds.
-2. Prefixes: in an order with frequent tokens last, linked classes share a token within their first n - ceil(t n) + 1
-   tokens. If the first shared one is rare, the single-token index finds the pair. Otherwise all shared tokens are frequent, and with prefixes
+2. Prefixes: in an order of tokens in one component, rare and frequent ones, linked classes share a token within their first
+   n - ceil(t n) + 1 tokens. If the first shared one is not frequent, the single-token index finds the pair. Otherwise all shared tokens are frequent, and with prefixes
    one token longer two of them are shared: pairs of frequent tokens are indexed for that. Frequent is a
    class of hash slots whose tokens are in more than frequent components, counted over all tokens. Pairs within one component need no comparison, as
    the result is the components, so an index entry costs only its pairs across components, after filters by size, position and parity bits.
@@ -43,30 +43,53 @@ _EDGES = "a bigint, b bigint"
 
 
 class Shingler:
-    """Sorted distinct shingle hashes of texts; hashes of words are kept while the cache has room."""
-
-    def __init__(self, words: int = WORDS, cached: int = 500_000):
-        self.words, self.cached, self.known = words, cached, {}
+    """Sorted distinct shingle hashes of texts.
+
+    The hash of a word is a polynomial in its bytes, each replaced by a random number: a difference of running sums over the
+    text, shifted to the text's start by the inverse power, so a whole text is hashed by array operations.
+    """
+
+    _draw = np.random.default_rng(5)
+    _number = _draw.integers(1, 1 << 63, 256, np.uint64)
+    _space = np.zeros(256, bool)
+    _space[[32, *range(9, 14)]] = True
+    _base, _inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+    def __init__(self, words: int = WORDS):
+        self.words = words
+        self._grow(1 << 16)
+
+    def _grow(self, n: int) -> None:
+        ones = np.full(n, self._base, np.uint64), np.full(n, self._inverse, np.uint64)
+        ones[0][0] = ones[1][0] = 1
+        self.power, self.back = (np.multiply.accumulate(x) for x in ones)
+
+    def word_hashes(self, raw: bytes) -> np.ndarray:
+        data = np.frombuffer(raw.lower(), np.uint8)  # of bytes, A to Z alone
+        if len(data) > len(self.power):
+            self._grow(2 * len(data))
+        space = np.concatenate(([True], self._space[data], [True]))
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        start, end = edge[::2], edge[1::2]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self._number[data] * self.power[: len(data)], dtype=np.uint64)))
+        h = (sums[end] - sums[start]) * self.back[start]
+        h ^= h >> np.uint64(31)
+        h *= _MIX[1]
+        return h ^ (h >> np.uint64(29))
 
     def __call__(self, raw: bytes) -> np.ndarray:
-        if len(self.known) > self.cached:
-            self.known.clear()
-        split = raw.lower().split()  # for bytes both know ASCII only
-        if not split:
+        h = self.word_hashes(raw)
+        if not len(h):
             return np.zeros(0, np.uint64)
-        known = self.known
-        try:
-            h = np.fromiter(map(known.__getitem__, split), np.uint64, len(split))
-        except KeyError:
-            for w in set(split).difference(known):
-                known[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.fromiter(map(known.__getitem__, split), np.uint64, len(split))
         k = min(self.words, len(h))
-        code = np.full(len(h) - k + 1, len(h) if len(h) < self.words else self.words, np.uint64)
+        code = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
             code = (code ^ h[i : len(h) - k + 1 + i]) * _MIX[0]
             code ^= code >> np.uint64(32)
-        return np.unique(code * _MIX[1])
+        code *= _MIX[1]
+        code ^= code >> np.uint64(32)
+        code.sort()
+        return code[np.concatenate(([True], code[1:] != code[:-1]))]
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -90,19 +113,20 @@ def _class_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens)) - (1 << 63)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the least node reachable) for every node of edges (a, b), by alternating large and small stars."""
+def components(edges: DataFrame, rows_per_file: int = 20_000) -> DataFrame:
+    """node, comp (the least node reachable) for every node of edges (a, b) but the least ones themselves, by alternating large and small stars. The tables between are written in files of about rows_per_file rows."""
     pairs = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    parts = max(1, pairs.count() // rows_per_file)
     before = None
     while True:
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large")
+        large = written(large.coalesce(parts), "large")
         own = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), "m")
         met = large.join(own, F.col("u") == F.col("of"))
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own.select(F.col("of").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = written(small, "small")
+        pairs = written(small.coalesce(parts), "small")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("comp"))
@@ -194,19 +218,19 @@ class Store:
         words, percent, buckets = self.words, self.percent, self.buckets
         # about as many slots as tokens: a token takes some six bytes
         bits = int(np.clip(np.ceil(np.log2(max(2, self.bytes / 6))), 16, 33))
-        hot = self.spark.sparkContext.broadcast(self._frequent(named, bits, frequent))
+        maps = self.spark.sparkContext.broadcast(self._classified(named, bits, frequent))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, unpack = Shingler(words), zstandard.ZstdDecompressor()
-            slots = hot.value
+            slots = maps.value
             pending, held = [], 0
             for batch in (b.slice(s, 512) for b in batches for s in range(0, b.num_rows, 512)):
                 for cls, n, comp, packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                     own = shingles(unpack.decompress(packed))
-                    tokens, place, combined = indexed(own, slots, bits, percent)
-                    pending.append((cls, n, comp, tokens, place, parity(own) if combined else np.zeros(0, np.uint32)))
+                    tokens, place, met = indexed(own, slots, bits, percent)
+                    pending.append((cls, n, comp, tokens, place, parity(own) if met else np.zeros(0, np.uint32)))
                     held += len(tokens)
-                    if held > 1_000_000:
+                    if held > 500_000:
                         yield _dealt(pending, buckets, True)
                         pending, held = [], 0
             if pending:
@@ -219,17 +243,17 @@ class Store:
 
         return named.mapInArrow(lean(run), "bucket bigint, data binary").groupBy("bucket").applyInArrow(pairs, _EDGES).distinct()
 
-    def _frequent(self, named: DataFrame, bits: int, frequent: int) -> np.ndarray | None:
-        """A bitmap of 2^bits slots: those whose tokens are in more components than frequent, and than 4 times the mean. Of a component its last 8 bits count."""
+    def _classified(self, named: DataFrame, bits: int, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bitmaps of 2^bits slots of tokens: those in two components or more, and those in more than frequent. Of a component its last 8 bits count."""
         words, buckets = self.words, self.buckets
-        width = -(-(1 << bits) // buckets)
+        width = -(-(1 << bits) // (8 * buckets)) * 8
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, unpack = Shingler(words), zstandard.ZstdDecompressor()
             codes, held = [], 0
 
             def flushed() -> pa.RecordBatch:
-                code = np.unique(np.concatenate(codes))
+                code = _distinct(np.concatenate(codes))
                 edge = np.searchsorted(code >> np.uint64(8), np.arange(buckets + 1, dtype=np.uint64) * np.uint64(width))
                 some = [int(k) for k in np.flatnonzero(np.diff(edge))]
                 return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([_packed_sorted(code[edge[k] : edge[k + 1]]) for k in some], pa.binary())], ["bucket", "data"])
@@ -238,31 +262,38 @@ class Store:
                 for comp, packed in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
                     codes.append(_slot(shingles(unpack.decompress(packed)), bits) << np.uint64(8) | np.uint64(comp & 255))
                     held += len(codes[-1])
-                    if held > 3_000_000:
+                    if held > 1_500_000:
                         yield flushed()
                         codes, held = [], 0
             if held:
                 yield flushed()
 
         def count(found: pa.Table) -> pa.Table:
-            code = np.unique(np.concatenate([_unpacked_sorted(x) for x in found["data"].to_pylist()]))
-            slot, n = np.unique(code >> np.uint64(8), return_counts=True)
+            code = _distinct(np.concatenate([_unpacked_sorted(x) for x in found["data"].to_pylist()]), True)
+            bucket = found["bucket"][0].as_py()
+            n = np.bincount((code >> np.uint64(8)).astype(np.int64) - bucket * width, minlength=width)
+            pack = lambda x: zstandard.ZstdCompressor(level=1).compress(np.packbits(x, bitorder="little").tobytes())
+            out = pa.table([pa.array([bucket], pa.int64()), pa.array([pack(n > 1)], pa.binary()), pa.array([pack(n > frequent)], pa.binary())], ["bucket", "shared", "hot"])
             trim()
-            return pa.table([pa.array([len(code)], pa.int64()), pa.array([_packed_sorted(slot[n > frequent])], pa.binary())], ["total", "slots"])
+            return out
+
+        parts = named.select("comp", "packed").mapInArrow(lean(run), "bucket bigint, data binary").groupBy("bucket").applyInArrow(count, "bucket bigint, shared binary, hot binary")
+        maps = np.zeros(buckets * width // 8, np.uint8), np.zeros(buckets * width // 8, np.uint8)
+        for r in parts.toLocalIterator():
+            for k in range(2):
+                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(r[k + 1]), np.uint8)
+                maps[k][r[0] * width // 8 : r[0] * width // 8 + len(part)] = part
+        return maps
+
 
-        parts = named.select("comp", "packed").mapInArrow(lean(run), "bucket bigint, data binary").groupBy("bucket").applyInArrow(count, "total bigint, slots binary").collect()
-        if sum(r[0] for r in parts) / (1 << bits) * 4 > frequent:
-            raise ValueError("more slots are needed for so many tokens")
-        some = np.concatenate([_unpacked_sorted(r[1]) for r in parts]) if parts else np.zeros(0, np.uint64)
-        if not len(some):
-            return None
-        hot = np.zeros((1 << bits) // 8, np.uint8)
-        np.bitwise_or.at(hot, (some >> np.uint64(3)).astype(np.int64), (1 << (some & np.uint64(7))).astype(np.uint8))
-        return hot
+def _distinct(values: np.ndarray, runs: bool = False) -> np.ndarray:
+    """Sorted; runs: values are a few sorted runs."""
+    values = np.sort(values, kind="stable" if runs else None)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
 
 
 def _slot(tokens: np.ndarray, bits: int) -> np.ndarray:
-    return tokens * _MIX[0] >> np.uint64(64 - bits)
+    return tokens >> np.uint64(64 - bits)
 
 
 def _packed_sorted(values: np.ndarray) -> bytes:
@@ -281,23 +312,26 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((tokens * _MIX[1] >> np.uint64(55)).astype(np.int64), minlength=512) & 1).view(np.uint32)
 
 
-def indexed(tokens: np.ndarray, slots: np.ndarray | None, bits: int, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Index entries of a set: rare tokens of the prefix with their places, and pairs of frequent tokens of the prefix one longer, with place 0; whether there are pairs."""
+def _in(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def indexed(tokens: np.ndarray, slots: tuple[np.ndarray, np.ndarray], bits: int, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Index entries of a set, in the order of unshared, rare and frequent tokens: the tokens of the prefix that are not frequent, with their places, and pairs of the frequent ones of the prefix one longer, with a place less by one than that of the second; whether any of them is in other components."""
     n = len(tokens)
     length = n - least_overlap(n, percent) + 1
-    if slots is None:
-        return tokens[:length], np.arange(length), False
     slot = _slot(tokens, bits)
-    is_hot = (slots[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    rare, hot = tokens[~is_hot], tokens[is_hot]
-    single = rare[:length]
-    some = hot[: max(0, length + 1 - len(rare))]
-    if n == 1 or least_overlap(n, percent) < 2:  # too few shared tokens for a pair of them
-        some_single = hot[: max(0, length - len(rare))]
-        return np.concatenate((single, some_single)), np.arange(len(single) + len(some_single)), False
+    shared, is_hot = _in(slots[0], slot), _in(slots[1], slot)
+    order = np.concatenate((tokens[~shared], tokens[shared & ~is_hot]))
+    hot = tokens[is_hot]
+    single = order[:length]
+    if least_overlap(n, percent) < 2:  # too few shared tokens for a pair of them
+        alone = np.concatenate((single, hot[: max(0, length - len(order))]))
+        return alone, np.arange(len(alone)), length > int((~shared).sum())
+    some = hot[: max(0, length + 1 - len(order))]
     i, j = np.triu_indices(len(some), 1)
     combined = (some[i] * _MIX[1] ^ some[j]) * _MIX[0]
-    return np.concatenate((single, combined)), np.concatenate((np.arange(len(single)), np.zeros(len(combined), np.int64))), len(combined) > 0
+    return np.concatenate((single, combined)), np.concatenate((np.arange(len(single)), len(order) + j - 1)), len(combined) > 0 or length > int((~shared).sum())
 
 
 def _dealt(pending: list[tuple], buckets: int, sketches: bool = False) -> pa.RecordBatch:
@@ -354,8 +388,8 @@ def _neighbours(blocks: list[bytes], percent: int, turn: int, reach: int = 3) ->
         i, j = who[x], who[x + k]
         fine = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         i, j = i[fine], j[fine]
-        for s in range(0, len(i), 100_000):
-            p, q = i[s : s + 100_000], j[s : s + 100_000]
+        for s in range(0, len(i), 50_000):
+            p, q = i[s : s + 50_000], j[s : s + 50_000]
             both = (sketch[p][:, :, None] == sketch[q][:, None, :]).any(2).sum(1)
             alike = 2 * both >= np.minimum(SKETCH, np.minimum(n[p], n[q]))
             a, b = cls[p[alike]], cls[q[alike]]
@@ -364,7 +398,7 @@ def _neighbours(blocks: list[bytes], percent: int, turn: int, reach: int = 3) ->
     return pairs[:, 0], pairs[:, 1]
 
 
-def _candidates(blocks: list[bytes], percent: int, step: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(blocks: list[bytes], percent: int, step: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of classes of different components that share an entry and pass the filters by size and place."""
     head, token, who, place, parities = _entries(blocks)
     known = parities.any(1)
@@ -405,14 +439,18 @@ def _candidates(blocks: list[bytes], percent: int, step: int = 2_000_000) -> tup
     return pairs[:, 0], pairs[:, 1]
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, turns: int = 3, bucket_bytes: int = 16 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, turns: int = 8, bucket_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs."""
     store = Store(docs, text, key, words, percent, bucket_bytes)
-    links, comps = None, None
+    comps, total = None, 0
     for turn in range(turns):
         found = written(store.verified(store.near(comps, turn)), "near")
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
+        known = found if comps is None else found.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+        comps = components(known)
+        n = found.count()
+        total += n
+        if 100 * n <= total:  # another turn would hardly add to it
+            break
     second = written(store.verified(store.prefixes(comps, frequent)), "links")
     # links join components of the first round, whose names are classes
     node, comp = comps.select(F.col("node").alias("x"), F.col("comp").alias("cx")), comps.select(F.col("node").alias("y"), F.col("comp").alias("cy"))
