@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelfield.llm.common import table
+from kernelfield.llm.common import lean, table
 
 MAX_N, BUCKETS = 4, 1 << 16
 _LETTER = re.compile(r"[^\W\d_]")
@@ -118,7 +118,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in batches:
+        for batch in (b.slice(s, 1024) for b in batches for s in range(0, b.num_rows, 1024)):
             texts = batch.column(len(names)).to_pylist()
             got: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
             some = [i for i, t in enumerate(texts) if fitted and t and _LETTER.search(t)]
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", key: str
                     got[i] = r
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(lean(run), schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

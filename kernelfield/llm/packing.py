@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelfield.llm.common import WORD, table
+from kernelfield.llm.common import WORD, lean, table
 
 CAPACITY = 2048
 #: Beyond these letters lower-casing before normalising may differ from the tokenizer's, as it does for special strings; the first few are white space to Python alone.
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
                     rows.append((k, s, len(part), zlib.crc32(part.tobytes()), len(ids)))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [key, "start", "length", "ids_crc32", "doc_tokens"])
 
-        for batch in batches:
+        for batch in (b.slice(s, 2048) for b in batches for s in range(0, b.num_rows, 2048)):
             keys, texts, size = [], [], 0
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys.append(k)
@@ -150,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
             if keys:
                 yield cut(keys, texts)
 
-    return docs.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(run, f"`{key}` bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return docs.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(lean(run), f"`{key}` bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, group_docs: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelfield.llm.common import table
+from kernelfield.llm.common import lean, table
 
 MIN_LENGTH = 16
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}")
@@ -230,7 +230,7 @@ def scan(docs: DataFrame, forest: Forest, text: str = "text", path: str = "sourc
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(s, 1024) for b in batches for s in range(0, b.num_rows, 1024)):
             texts = batch.column(1).to_pylist()
             found = find(texts, batch.column(2).to_pylist(), shared.value)
             digests = [hashlib.sha256(redact(t or "", s).encode()).hexdigest() for t, (_, s) in zip(texts, found, strict=True)]
@@ -239,7 +239,7 @@ def scan(docs: DataFrame, forest: Forest, text: str = "text", path: str = "sourc
                 [key, "n_candidates", "n_secrets", "spans", "redacted_sha256"],
             )
 
-    return docs.select(key, text, path).mapInArrow(run, f"`{key}` {kind}, n_candidates bigint, n_secrets bigint, spans array<struct<start:bigint,end:bigint>>, redacted_sha256 string")
+    return docs.select(key, text, path).mapInArrow(lean(run), f"`{key}` {kind}, n_candidates bigint, n_secrets bigint, spans array<struct<start:bigint,end:bigint>>, redacted_sha256 string")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +253,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, by = names.index("text"), names.index("source")
-        for batch in batches:
+        for batch in (b.slice(s, 1024) for b in batches for s in range(0, b.num_rows, 1024)):
             texts = batch.column(at).to_pylist()
             found = find(texts, batch.column(by).to_pylist(), shared.value)
             new = [redact(t, s) if s else t for t, (_, s) in zip(texts, found, strict=True)]
@@ -265,4 +265,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 columns[k] = pa.array([len(n) if s else o for n, o, (_, s) in zip(new, old, found, strict=True)], batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
