@@ -81,7 +81,9 @@ class Fields:
 
     @cached_property
     def contact_pairs(self) -> DataFrame:
-        near = match(self.directed, self.grid, self.kernel.c)
+        # a contact fans out to many pairs of ten samples each: small inputs must not have been merged into a few partitions
+        n = int(self.directed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        near = match(self.directed.repartition(n, "t", "id"), self.grid, self.kernel.c)
         r, b = (tuple(F.col(f"{k}{a}") for a in AXES) for k in ("r", "b"))
         return with_line_weight(near, self.kernel.name, self.kernel.mode, self.kernel.literals, r, b, "wint")
 

@@ -43,6 +43,8 @@ def particles(spark: SparkSession, sf_dir: str, steps: int = 1) -> DataFrame:
 def contacts(spark: SparkSession, sf_dir: str, points: bool = False) -> DataFrame:
     """points: with contact points half-way between the centres."""
     rows = spark.sql(CONTACTS, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    # numbering all rows leaves one partition, and the work on pairs that follows needs many
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i", "j")
     if not points:
         return rows
     p = particles(spark, sf_dir)
