@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from kernelfield.llm.common import WORD_SQL, plain_text, table, written
 
 EPS = 1e-9
-_UNIT = "struct<size:bigint,doc_id:bigint,salt:bigint,whole:int,p:double>"
-_DONE = "array<struct<size:bigint,doc_id:bigint,salt:bigint,whole:int,p:double>>"
+_UNIT = "struct<size:bigint,doc_id:bigint,salt:bigint,whole:int,p:double,row:bigint>"
+_DONE = f"array<{_UNIT}>"
 
 
 def let(value: Column, then) -> Column:
@@ -86,16 +86,16 @@ def _tree(units: DataFrame, most: int, block_units: int, label: int) -> tuple[li
     return states, state.where(F.col("left").isNotNull()).select("source", F.col("left").alias("u")).select("source", "u", (draw < F.col("u.p")).cast("int").alias("up"))
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", cap: int = 3, cycle: int = 3, block_units: int = 64, tiers: tuple[int, ...] = (1024, 128)) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken: one row per row of docs.
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", cap: int = 3, cycle: int = 3, block_units: int = 64, tiers: tuple[int, ...] = (1024, 128), row: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken, row: one row per row of docs.
 
     Documents of more words than tiers[0] are rounded first, then those of more than tiers[1], and so on. What the last unit of a
     tier is off its expected words is taken from the fractions of the next tier, in proportion, so a source ends
-    about a small document's size from its target.
+    about a small document's size from its target. The column row is carried along (null without one); draws do not depend on it.
     """
     words = F.size(F.regexp_extract_all(plain_text(text), F.lit(WORD_SQL), F.lit(0))).cast("bigint")
     tier = sum(((F.col("size") <= t).cast("int") for t in tiers), F.lit(0))
-    plain = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), F.xxhash64(plain_text(text)).alias("salt"))
+    plain = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), F.xxhash64(plain_text(text)).alias("salt"), (F.col(row) if row else F.lit(None)).cast("bigint").alias("row"))
     sized = written(plain.withColumn("tier", tier), "sized")
     targets = written(source_targets(sized, cap, cycle), "targets")
     per_tier = written(sized.groupBy("source", "tier").agg(F.sum("size").alias("tier_size"), F.count("*").alias("n")), "tiers")
@@ -113,21 +113,21 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
         rows = sized.where(F.col("tier") == label).join(plan, F.col("source").eqNullSafe(F.col("of")))
         split = (F.col("size") > 0) & (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
         blocks = F.greatest(F.ceil(F.col("n") / block_units), F.lit(1))
-        units = rows.where(split).select("source", F.pmod(F.xxhash64(F.lit("block"), "doc_id", "salt"), blocks).alias("block"), F.struct("size", "doc_id", "salt", "whole", "p").alias("unit"))
-        settled.append(rows.where(~split).select("source", "doc_id", "size", "whole", (F.col("p") > 0.5).cast("int").alias("up")))
+        units = rows.where(split).select("source", F.pmod(F.xxhash64(F.lit("block"), "doc_id", "salt"), blocks).alias("block"), F.struct("size", "doc_id", "salt", "whole", "p", "row").alias("unit"))
+        settled.append(rows.where(~split).select("source", "doc_id", "row", "size", "whole", (F.col("p") > 0.5).cast("int").alias("up")))
         states, last = _tree(units, -(-most[label] // block_units), block_units, label)
-        settled += [s.select("source", F.explode("done").alias("u")).select("source", "u.doc_id", "u.size", "u.whole", (F.col("u.p") > 0.5).cast("int").alias("up")) for s in states]
-        settled.append(last.select("source", "u.doc_id", "u.size", "u.whole", "up"))
+        settled += [s.select("source", F.explode("done").alias("u")).select("source", "u.doc_id", "u.row", "u.size", "u.whole", (F.col("u.p") > 0.5).cast("int").alias("up")) for s in states]
+        settled.append(last.select("source", "u.doc_id", "u.row", "u.size", "u.whole", "up"))
         over = last.select(F.col("source").alias("last_of"), ((F.col("up") - F.col("u.p")) * F.col("u.size")).alias("over"))
         changed = plan.join(over, F.col("of").eqNullSafe(F.col("last_of")), "left").select(F.col("of").alias("now_of"), (F.col("off") + F.coalesce("over", F.lit(0.0))).alias("now"))
         # a source without documents in this tier keeps what it was off
         off = written(off.join(changed, F.col("of").eqNullSafe(F.col("now_of")), "left").select("of", F.coalesce("now", "off").alias("off")), "off")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("up")).otherwise(0)
     totals = targets.select(F.col("source").alias("of"), "source_size", "target")
-    every = sized.where(F.lit(False)).select("source", "doc_id", "size", F.lit(0).alias("whole"), F.lit(0).alias("up"))
+    every = sized.where(F.lit(False)).select("source", "doc_id", "row", "size", F.lit(0).alias("whole"), F.lit(0).alias("up"))
     for part in settled:
         every = every.unionByName(part)
-    return every.join(totals, F.col("source").eqNullSafe(F.col("of")), "left").select("doc_id", "size", "source_size", "target", copies.cast("bigint").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+    return every.join(totals, F.col("source").eqNullSafe(F.col("of")), "left").select("doc_id", "size", "source_size", "target", copies.cast("bigint").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"), "row")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +135,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: each document as often as it is taken."""
-    taken = mix(docs).where(F.col("copies") > 0).select(F.col("doc_id").alias("__id"), "copies")
-    return docs.join(taken, F.col("doc_id") == F.col("__id")).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    """The mixed corpus: each row as often as it is taken. Rows are told apart by a written number, as keys may be null or repeat."""
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered, row="__row").where(F.col("copies") > 0).select(F.col("row").alias("__taken"), "copies")
+    return numbered.join(taken, F.col("__row") == F.col("__taken")).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")

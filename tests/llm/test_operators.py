@@ -124,6 +124,25 @@ def test_mixing_keeps_expected_copies(spark):
     assert total["copies", 0] / 600 == pytest.approx(1, abs=0.05) and total["copies", 1] / 600 == pytest.approx(1, abs=0.05)
 
 
+def test_mixing_stage_keeps_null_and_repeated_ids(spark):
+    """The stage returns of each row as many copies as mix() decided for it."""
+    r = random.Random(8)
+    rows = [(None if i % 3 == 0 else i % 5 if i % 3 == 1 else i, "w " * r.randint(1, 30) + str(i), "s%d" % (i % 4)) for i in range(300)] + [(7000, "equal rows", "s0")] * 6
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    decided = M.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("n")).collect()
+    words = F.size(F.regexp_extract_all("text", F.lit(M.WORD_SQL), F.lit(0)))
+    out = M.stage(spark, docs, SF)
+    got = {x["doc_id"]: x["n"] for x in out.groupBy("doc_id").agg(F.sum(words).alias("n")).collect()}
+    assert out.columns == docs.columns and got == {x["doc_id"]: x["n"] for x in decided if x["n"]} and got[None] > 0
+    per, taken = Counter(), Counter()
+    for _, t, s in rows:
+        per[s] += len(t.split())
+    target = _filled(per)
+    for x in out.collect():
+        taken[x["source"]] += len(x["text"].split())
+    assert all(abs(taken[s] - target[s]) <= 40 for s in per)
+
+
 # 3
 
 
