@@ -14,7 +14,8 @@ for each depth the classes of equal contexts; a window with offset o is its clas
 at depth length - o, and all of a pair but the earliest window are covered.
 
 Defined cases: null texts are empty; texts under length bytes lose nothing; a null key is later than all others; rows that share
-a key are ordered by start alone, and equal rows get equal results; very long texts yield more pieces, none larger; extra
+a key are ordered by start alone (equal pieces of different texts at one key and start are ties: only one travels, and the others get
+what is found for it), and equal rows get equal results; very long texts yield more pieces, none larger; extra
 input columns are ignored; an empty table gives no rows.
 """
 
@@ -215,16 +216,36 @@ def deep_shallow(group: np.ndarray, data: np.ndarray, start: np.ndarray, size: n
     return order, shared
 
 
-def covered(pieces: Pieces, length: int = LENGTH) -> dict[str, np.ndarray]:
-    """doc, rid, low, high: byte ranges of windows that also start earlier, from the pieces of a bucket."""
+def _ties(by: np.ndarray, lead: np.ndarray, doc: np.ndarray, low: np.ndarray, rid: np.ndarray) -> np.ndarray:
+    """Pairs (lead, tie) of equal pieces at one key and start whose texts differ, each text once."""
+    tied = (doc[by] == doc[lead]) & (low[by] == low[lead]) & (rid[by] != rid[lead])
+    i, j = lead[tied], by[tied]
+    once = np.unique(np.stack([i, rid[j]]), axis=1, return_index=True)[1]
+    return np.stack([i[once], j[once]])
+
+
+def _inherited(key: np.ndarray, tie_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places at which the rows of key and those of tie_key (both n x k) are equal."""
+    number = np.unique(np.concatenate([key, tie_key]), axis=0, return_inverse=True)[1].ravel()
+    own, tie = number[: len(key)], number[len(key) :]
+    order = np.argsort(tie, kind="stable")
+    begin, end = np.searchsorted(tie[order], own), np.searchsorted(tie[order], own, "right")
+    n = end - begin
+    at = np.repeat(np.arange(len(own)), n)
+    return at, order[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)]
+
+
+def covered(pieces: Pieces, length: int = LENGTH, ties: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """doc, rid, low, high: byte ranges of windows that also start earlier, from the pieces of a bucket. ties: doc, rid, low of pieces, and the rid of a tie of each."""
     c = pieces.c
     n = len(c["doc"])
     start = np.cumsum(c["size"]) - c["size"]
     data = np.frombuffer(pieces.data, np.uint8)
     out: list[tuple] = []
+    tied = np.zeros((2, 0), np.int64)
 
     def emit(i: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        out.append((c["doc"][i], c["rid"][i], low, high))
+        out.append((i, low, high))
 
     if n:
         words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
@@ -240,6 +261,7 @@ def covered(pieces: Pieces, length: int = LENGTH) -> dict[str, np.ndarray]:
         first = np.maximum.accumulate(np.where(begins, np.arange(len(by)), 0))
         ordered = some[by]
         later = (c["doc"][ordered] != c["doc"][ordered[first]]) | (c["low"][ordered] != c["low"][ordered[first]]) if len(by) else begins[:0]
+        tied = _ties(ordered, ordered[first], c["doc"], c["low"], c["rid"]) if len(by) else tied
         i = ordered[later]
         emit(i, c["low"][i], c["low"][i] + c["size"][i])
         left = ordered[begins] if len(by) else ordered
@@ -276,12 +298,19 @@ def covered(pieces: Pieces, length: int = LENGTH) -> dict[str, np.ndarray]:
                 e = np.concatenate((s[1:], [len(p)])) - 1
                 if len(p):
                     emit(left[who[s]], p[s], p[e] + length)
-    found = [np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(4)]
-    return dict(zip(("doc", "rid", "low", "high"), found, strict=True))
+    i, low, high = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
+    # ties in the bucket get the ranges of their lead, then those that were not sent get the ranges of the piece sent for them
+    at, t = _inherited(i[:, None], tied[0][:, None])
+    i, low, high = np.concatenate((i, tied[1][t])), np.concatenate((low, low[at])), np.concatenate((high, high[at]))
+    doc, rid = c["doc"][i], c["rid"][i]
+    if ties is not None:
+        at, t = _inherited(np.stack([doc, rid, c["low"][i]], 1), ties[:3].T)
+        doc, rid, low, high = np.concatenate((doc, doc[at])), np.concatenate((rid, ties[3][t])), np.concatenate((low, low[at])), np.concatenate((high, high[at]))
+    return {"doc": doc, "rid": rid, "low": low, "high": high}
 
 
 def _sent(pending: list[tuple], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """bucket, kind and data of a task's pieces: kind 0 the pieces, equal ones once, kind 1 the ranges of the other equal ones."""
+    """bucket, kind and data of a task's pieces: kind 0 the pieces, equal ones once, kind 1 the ranges of the later equal ones, kind 2 the ties (doc, rid, low of the piece sent, and the tie's rid)."""
     doc, rid, low, size, off, gram = (np.concatenate(x) for x in list(zip(*pending, strict=True))[:6])
     data = b"".join(x[6] for x in pending)
     start = np.cumsum(size) - size
@@ -291,6 +320,11 @@ def _sent(pending: list[tuple], buckets: int) -> Iterator[tuple[int, int, bytes]
     if len(later):
         ranges = np.stack([doc[later], rid[later], low[later], low[later] + size[later]]).astype("<i8")
         yield int(gram[later[0]] % np.uint64(buckets)), 1, zstandard.ZstdCompressor(level=1).compress(ranges.tobytes())
+    first, tie = _ties(by, lead, doc, low, rid)
+    own = (gram[first] % np.uint64(buckets)).astype(np.int64)
+    for k in np.unique(own).tolist():
+        marks = np.stack([doc[first], rid[first], low[first], rid[tie]])[:, own == k].astype("<i8")
+        yield k, 2, zstandard.ZstdCompressor(level=1).compress(marks.tobytes())
     kept = np.sort(by[begins])
     bucket = (gram[kept] % np.uint64(buckets)).astype(np.int64)
     order = kept[np.argsort(bucket, kind="stable")]
@@ -369,10 +403,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = 4
 
     def solve(found: pa.Table) -> pa.Table:
         kinds, data = found["kind"].to_pylist(), found["data"].to_pylist()
-        parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(d), "<i8").reshape(4, -1) for k, d in zip(kinds, data, strict=True) if k == 1]
+        parts, marks = ([np.frombuffer(zstandard.ZstdDecompressor().decompress(d), "<i8").reshape(4, -1) for k, d in zip(kinds, data, strict=True) if k == kind] for kind in (1, 2))
         blocks = [d for k, d in zip(kinds, data, strict=True) if k == 0]
         if blocks:
-            got = covered(Pieces.unpacked(blocks), length)
+            got = covered(Pieces.unpacked(blocks), length, np.concatenate(marks, 1) if marks else None)
             parts.append(np.stack([got["doc"], got["rid"], got["low"], got["high"]]))
         all_ = np.concatenate(parts, 1) if parts else np.zeros((4, 0), np.int64)
         trim()

@@ -51,6 +51,20 @@ def test_whole_texts_against_brute_force(spark):
         assert key(tuple(r) for r in S.remove_repeats(docs, bucket_bytes=size).collect()) == key(brute(rows))
 
 
+def test_texts_that_open_alike_under_one_key(spark):
+    """Null ids, and different texts under one id, tie at the start of a passage that an earlier document holds."""
+    r = random.Random(9)
+    text = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
+    a, b = text(55), text(55)
+    rows = [(7, text(10) + a), *[(None, a + text(30)) for _ in range(4)], *[(20, a + text(20)) for _ in range(3)], *[(None, b + text(9)) for _ in range(3)], (None, text(5) + b), (30, text(3) + b[:200])]
+    rows += [rows[1], rows[1], rows[6]]
+    for seed, parts in ((1, 1), (2, 3), (3, 14)):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        for size in (4 << 20, 1000):
+            assert key(tuple(x) for x in S.remove_repeats(docs, bucket_bytes=size).collect()) == key(brute(rows))
+
+
 def test_frequent_grams(spark):
     r = random.Random(6)
     passage = "this passage stands in a great many documents, word for word, and is longer than the window of one hundred bytes. " * 2
