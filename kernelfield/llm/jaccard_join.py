@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelfield.llm.common import lean, plain_text, table, trim, written
+from kernelfield.llm.common import WORD_SQL, lean, plain_text, table, trim, written
 
 WORDS, PERCENT, FREQUENT = 5, 80, 10
 #: Tokens of a sketch, and those of them by which near() groups.
@@ -134,14 +134,18 @@ def components(edges: DataFrame, rows_per_file: int = 20_000) -> DataFrame:
 
 
 class Store:
-    """The classes of a table of documents: cls, n, first (the least id), sketch (its least tokens), packed (compressed text)."""
+    """The classes of a table of documents: cls, n, first (the least id), sketch (its least tokens), packed (compressed text).
 
-    def __init__(self, docs: DataFrame, text: str, key: str, words: int, percent: int, bucket_bytes: int):
+    With row, the name of a column of row numbers, also own: the least of (no id, id, text hash, row) of its rows.
+    """
+
+    def __init__(self, docs: DataFrame, text: str, key: str, words: int, percent: int, bucket_bytes: int, row: str | None = None):
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
-        self.rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), plain_text(text).cast("binary").alias("raw"))
+        own = [F.struct(F.col(key).isNull().alias("no_id"), F.col(key).cast("bigint").alias("id"), F.xxhash64(plain_text(text)).alias("salt"), F.col(row).cast("bigint").alias("row")).alias("own")] if row else []
+        self.rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), plain_text(text).cast("binary").alias("raw"), *own)
         self.bytes = self.rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
         self.buckets = max(8, -(-self.bytes // bucket_bytes))
-        signed = self._signed(True).where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("packed").alias("packed"))
+        signed = self._signed(True).where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("packed").alias("packed"), *([F.min("own").alias("own")] if row else []))
         name = f"kf_classes_{uuid.uuid4().hex}"
         signed.repartition(self.buckets, "cls").write.bucketBy(self.buckets, "cls").format("parquet").saveAsTable(name)
         self.classes = self.spark.table(name)
@@ -157,9 +161,9 @@ class Store:
                     t = shingles(raw)
                     out.append((_class_of(t), len(t), t[:SKETCH].tobytes() if packed else b"", pack.compress(raw) if packed else b""))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[k], pa.int64()) for k in range(2)], *[pa.array(columns[k], pa.binary()) for k in (2, 3)]], ["doc_id", "cls", "n", "sketch", "packed"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[k], pa.int64()) for k in range(2)], *[pa.array(columns[k], pa.binary()) for k in (2, 3)], *batch.columns[2:]], ["doc_id", "cls", "n", "sketch", "packed", *batch.schema.names[2:]])
 
-        return self.rows.mapInArrow(lean(run), "doc_id bigint, cls bigint, n bigint, sketch binary, packed binary")
+        return self.rows.mapInArrow(lean(run), "doc_id bigint, cls bigint, n bigint, sketch binary, packed binary" + (", own struct<no_id:boolean,id:bigint,salt:bigint,row:bigint>" if "own" in self.rows.columns else ""))
 
     def labels(self) -> DataFrame:
         """doc_id, cls, n of every row."""
@@ -442,6 +446,18 @@ def _candidates(blocks: list[bytes], percent: int, step: int = 400_000) -> tuple
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, turns: int = 8, bucket_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs."""
     store = Store(docs, text, key, words, percent, bucket_bytes)
+    final = _grouped(store, frequent, turns)
+    names = final.groupBy("c2").agg(F.min("first").alias("component_id")).withColumnRenamed("c2", "of")
+    by_class = final.join(names, F.col("c2") == F.col("of")).select(F.col("cls").alias("of_cls"), "component_id", F.lit(True).alias("of_some"))
+    # rows without shingles meet no class: their keys are spread, and differ in the flag
+    some = F.col("n") > 0
+    rows = store.labels().withColumn("some", some).withColumn("cls", F.when(some, F.col("cls")).otherwise(F.xxhash64("doc_id")))
+    result = rows.join(by_class, (F.col("cls") == F.col("of_cls")) & (F.col("some") == F.col("of_some")), "left")
+    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("some"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _grouped(store: Store, frequent: int = FREQUENT, turns: int = 8) -> DataFrame:
+    """cls, first, c2 (a name of its component) of every class."""
     comps, total = None, 0
     for turn in range(turns):
         found = written(store.verified(store.near(comps, turn)), "near")
@@ -458,14 +474,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     merged = components(between).select(F.col("node").alias("was"), F.col("comp").alias("now"))
     classes = store.classes.select("cls", "first")
     final = classes.join(comps, F.col("cls") == F.col("node"), "left").withColumn("c1", F.coalesce("comp", "cls")).join(merged, F.col("c1") == F.col("was"), "left").select("cls", "first", F.coalesce("now", "c1").alias("c2"))
-    final = written(final, "final")
-    names = final.groupBy("c2").agg(F.min("first").alias("component_id")).withColumnRenamed("c2", "of")
-    by_class = final.join(names, F.col("c2") == F.col("of")).select(F.col("cls").alias("of_cls"), "component_id", F.lit(True).alias("of_some"))
-    # rows without shingles meet no class: their keys are spread, and differ in the flag
-    some = F.col("n") > 0
-    rows = store.labels().withColumn("some", some).withColumn("cls", F.when(some, F.col("cls")).otherwise(F.xxhash64("doc_id")))
-    result = rows.join(by_class, (F.col("cls") == F.col("of_cls")) & (F.col("some") == F.col("of_some")), "left")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("some"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return written(final, "final")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,10 +482,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one that names it."""
-    found = jaccard_components(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One row of each group stays: that of the least id, then text hash, then row number. Rows without words are groups by their id, and apart without one."""
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    store = Store(numbered, "text", "doc_id", WORDS, PERCENT, 16 << 20, "__row")
+    own = store.classes.select(F.col("cls").alias("of"), "own")
+    best = _grouped(store).join(own, F.col("cls") == F.col("of")).groupBy("c2").agg(F.min("own").alias("own")).select("own.row")
+    bare = numbered.where(~plain_text("text").rlike(WORD_SQL)).select(F.col("doc_id").alias("id"), F.struct(F.xxhash64(plain_text("text")).alias("salt"), F.col("__row").alias("row")).alias("own"))
+    keep = best.unionByName(bare.where("id is null").select("own.row")).unionByName(bare.where("id is not null").groupBy("id").agg(F.min("own").alias("own")).select("own.row"))
+    return numbered.join(keep, F.col("__row") == F.col("row"), "left_semi").drop("__row")
 
 
 ORACLE = r"""

@@ -298,6 +298,16 @@ def test_near_duplicate_stage(spark, docs):
     assert {r["doc_id"] for r in kept.collect()} == named
 
 
+def test_near_duplicate_stage_by_rows(spark):
+    """One row of each group stays, counted by rows, with repeated and null ids."""
+    t = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(6)]
+    rows = [(1, t[0])] * 3 + [(2, t[1]), (2, t[2]), (None, t[1]), (None, t[3]), (None, t[3] + " end"), (None, t[4]), (5, None), (5, None), (None, ""), (6, t[5] + " end"), (7, t[5]), (None, t[5])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = Counter(tuple(r) for r in J.stage(spark, docs, SF).collect())
+    third = (None, t[3]) if got[None, t[3]] else (None, t[3] + " end")
+    assert got == Counter([(1, t[0]), (2, t[1]), (2, t[2]), third, (None, t[4]), (5, None), (None, ""), (6, t[5] + " end")])
+
+
 # 6
 
 
