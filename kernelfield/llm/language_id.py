@@ -6,8 +6,9 @@ on which a ridge regression per language is fitted to +1 and -1. As the kernel i
 landmarks, whitening and regression fold into one matrix of BUCKETS x languages, and a batch of texts is scored by one
 matrix product.
 
-Fitted on at most per_language labelled rows for each of at most max_languages languages (the most frequent), drawn by a
-hash of the key; every row is scored on its whole text.
+Every labelled language is learned. Fitted on at most per_language labelled rows of each, fewer where there are many
+languages (max_rows in all, but one of each at least), drawn by a hash of key and text, repeated rows once; every row is scored on its
+whole text.
 
 Defined cases: a text that is null or has no letter is 'und' with score 0; so is every text if there are no labelled
 rows; null languages are not learned from; equal scores go to the language first by code point; repeated rows give repeated
@@ -17,11 +18,12 @@ results; extra input columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kernelfield.llm.common import lean, table
@@ -75,7 +77,8 @@ class Model:
         features = np.concatenate(kernel).astype(np.float64) @ root
         target = np.where(np.array(langs)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
         # balance: each language has the same weight
-        weight = 1 / np.array([langs.count(x) for x in langs], float)[:, None]
+        number = Counter(langs)
+        weight = 1 / np.array([number[x] for x in langs], float)[:, None]
         mean_x, mean_y = (features * weight).sum(0) / weight.sum(), (target * weight).sum(0) / weight.sum()
         x, y = features - mean_x, target - mean_y
         beta = np.linalg.solve(x.T @ (weight * x) + ridge * weight.sum() / len(x) * np.eye(x.shape[1]), x.T @ (weight * y))
@@ -92,22 +95,19 @@ def held_out(key: str = "doc_id"):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 300, max_languages: int = 64) -> Model | None:
-    """Fits on a bounded sample of the labelled rows that are not held out."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(key), F.lit(False)))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_languages).collect()}
-    if not counts:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 300, max_rows: int = 19_200, max_landmarks: int = 2_560) -> Model | None:
+    """Fits on a bounded sample of the labelled rows that are not held out: of each language the texts of the least hashes."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~F.coalesce(held_out(key), F.lit(False))).select(F.col(lang).alias("__lang"), F.xxhash64(F.lit("order"), key, text).alias("__h"), F.col(text).alias("__text"))
+    languages = rows.select("__lang").distinct().count()
+    if not languages:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.3 * per_language / n))])
-    draw = F.pmod(F.xxhash64(F.lit("language"), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    found = rows.where(F.col(lang).isin(list(counts)) & (draw < share[F.col(lang)])).select(F.xxhash64(F.lit("order"), key, text).alias("h"), lang, text).limit(2 * per_language * len(counts)).collect()
-    taken, texts, langs = dict.fromkeys(counts, 0), [], []
-    for _, x, t in sorted(found, key=lambda r: (r[0], r[1], r[2])):
-        if taken[x] < per_language and _LETTER.search(t):
-            taken[x] += 1
-            texts.append(t)
-            langs.append(x)
-    return Model.fit(texts, langs)
+    each = max(1, min(per_language, max_rows // languages))
+    rank = F.row_number().over(Window.partitionBy("__lang").orderBy("__h"))
+    drawn = rows.select("__lang", "__h").distinct().withColumn("n", rank).where(F.col("n") <= each)
+    last = drawn.groupBy("__lang").agg(F.max("__h").alias("__last")).withColumnRenamed("__lang", "__of")
+    found = rows.join(F.broadcast(last), (F.col("__lang") == F.col("__of")) & (F.col("__h") <= F.col("__last"))).groupBy("__lang", "__h").agg(F.min("__text").alias("__text")).collect()
+    found = sorted(found, key=lambda r: (r[1], r[0], r[2]))
+    return Model.fit([r[2] for r in found], [r[0] for r in found], landmarks=max(1, min(40, max_landmarks // languages)))
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:

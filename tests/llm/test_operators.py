@@ -371,6 +371,16 @@ def test_language_cases(spark, docs, odd):
     assert kept.count() > 0.97 * docs.count()
 
 
+def test_every_language_is_learned(spark):
+    """More than 64 languages, one of them with a text that fills most of its rows."""
+    r = random.Random(4)
+    letters = [chr(0x4E00 + 40 * k) + chr(0x4E01 + 40 * k) for k in range(70)]
+    rows = [(i, " ".join("".join(r.choices(letters[i % 70], k=4)) for _ in range(12)), f"l{i % 70}") for i in range(700)] + [(None, letters[0] * 9, "l0")] * 700
+    model = LID.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.languages == sorted({x for _, _, x in rows})
+    assert [x for x, _ in model.predict([rows[i][1] for i in range(70)])] == [rows[i][2] for i in range(70)]
+
+
 def test_language_kernel_by_hand():
     x, y = "abc", "abd"
     grams = lambda s: {s[i : i + n] for n in range(1, 5) for i in range(len(s) - n + 1)}
