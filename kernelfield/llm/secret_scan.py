@@ -1,6 +1,8 @@
 """Secret scans: a random forest sorts out the false positives among candidate strings.
 
-A candidate is a run of at least MIN_LENGTH characters of [A-Za-z0-9+/_-] with a digit. Its features are length, character
+Candidates are proposed widely, and may overlap: runs of at least MIN_LENGTH characters of [A-Za-z0-9+/_-], shorter ones of 8 at
+least with letters and digits, quoted or bare values of 4 to 200 characters after a credential word, passwords in URLs, dotted tokens and PEM
+blocks as a whole. Overlapping secrets are joined. Features are length, character
 shares and transitions, dictionary coverage, the path of the document and the words beside it. The forest is trained on
 labelled findings: a table given by the caller (at most max_findings rows are used), or labelled_findings(), a seeded
 set of known secret formats and known look-alikes in invented surroundings. Every text is scanned whole.
@@ -27,7 +29,15 @@ from kernelfield.llm.common import lean, table
 
 MIN_LENGTH = 16
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}")
-_DIGIT = re.compile(r"\d")
+_SHORT = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[+/_\-]*[A-Za-z+/_\-]*\d|\d+[+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{8,15}(?![A-Za-z0-9+/_\-])")
+_NAME = r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|key|auth(?:orization)?|credentials?|bearer)[A-Za-z0-9_\-]{0,20}[\"']?"
+_ASSIGNED = re.compile(r"(?i)" + _NAME + r"(?=\s{0,3}(?:=>|:=|=|:|\s(?:is|was)\s|\s)\s{0,3}(?:\"([^\"\n]{4,200})\"|'([^'\n]{4,200})'|([^\s\"'<>]{4,200})))")
+_NAMED = re.compile(r"(?i)" + _NAME + r"\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?$")
+_URL = re.compile(r"://[^\s:/@\"']{1,64}:([^\s/@\"']{3,100})@")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{2,}(?:\.[A-Za-z0-9_\-]{4,}){2,}")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----[\s\S]{0,20000}?-----END \1-----")
+#: Values that stand for a secret that is elsewhere.
+_STANDIN = re.compile(r"(?i)[$%<{(\[]|^(?:os|process|config|settings|env|self|this|get\w*)\b|change_?me|your|example|placeholder|xxx|^(?:null|none|true|false|required|optional)$")
 _WORDS = re.compile(r"[a-z]{3,}")
 #: Words whose nearness speaks for a secret, and against one.
 FOR = ("password", "passwd", "pwd", "secret", "token", "apikey", "api", "key", "auth", "credential", "bearer", "private", "access")
@@ -48,7 +58,17 @@ MARK = "[SECRET]"
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Start and end of the candidates."""
-    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m.group())]
+    found = {m.span() for p in (_CANDIDATE, _DOTTED, _PEM) for m in p.finditer(text)}
+    found |= {m.span() for m in _SHORT.finditer(text) if any(c.isalpha() for c in m.group()) and any(c.isdigit() for c in m.group())}
+    found |= {m.span(1) for m in _URL.finditer(text)}
+    for m in _ASSIGNED.finditer(text):
+        start, end = m.span(m.lastindex)
+        if m.lastindex == 3:
+            end = start + len(m[3].rstrip(".,;:!?)]}"))
+        if end - start >= 4:
+            found.add((start, end))
+    blocks = [m.span() for m in _PEM.finditer(text)]  # judged as a whole
+    return sorted(x for x in found if x in blocks or not any(a < x[1] and x[0] < b for a, b in blocks)) if blocks else sorted(found)
 
 
 def features(value: str, before: str, after: str, path: str | None) -> list[float]:
@@ -87,10 +107,20 @@ def features(value: str, before: str, after: str, path: str | None) -> list[floa
         float(any(x in words for x in AGAINST)),
         float(bool(path and _TEST_PATH.search(path))),
         float(bool(path and _CODE_PATH.search(path))),
+        float(value.count(".")),
+        sum(not (c.isalnum() or c in "+/_-.") for c in value) / n,
+        sum(c.isspace() for c in value) / n,
+        float(value.startswith("eyJ")),
+        float(value.startswith("-----BEGIN") and "PRIVATE KEY" in value[:60]),
+        float(bool(_NAMED.search(near_before))),
+        float("://" in near_before.rsplit(None, 1)[-1:][0] and after[:1] == "@" if near_before.strip() else 0),
+        float(bool(_STANDIN.search(value[:200]))),
+        float(len(set(kinds))),
+        float(any(a == 3 and b == 2 for a, b in zip(kinds, kinds[1:], strict=False))),
     ]
 
 
-def labelled_findings(n: int = 4000, seed: int = 20) -> list[tuple[str, str, str, str, int]]:
+def labelled_findings(n: int = 6000, seed: int = 20) -> list[tuple[str, str, str, str, int]]:
     """value, before, after, path, label (1: secret): secrets of known formats and look-alikes, in equal numbers."""
     r = random.Random(seed)
     pick = lambda letters, k: "".join(r.choices(letters, k=k))
@@ -105,7 +135,7 @@ def labelled_findings(n: int = 4000, seed: int = 20) -> list[tuple[str, str, str
         if i % 2:
             name = r.choice(["password", "token", "secret", "api_key", "apikey", "auth_token", "access_key", "passwd", "client_secret", "private_key"])
             join = r.choice(["=", " = ", ": ", ":", " : "])
-            kind = r.randrange(8)
+            kind = r.randrange(13)
             if kind < 3:
                 value, before, after = pick(hexa, r.choice([16, 18, 20, 24, 32, 40, 40, 64])), left + name + join + quote, quote + right
             elif kind == 3:
@@ -116,11 +146,26 @@ def labelled_findings(n: int = 4000, seed: int = 20) -> list[tuple[str, str, str
                 value, before, after = pick(alnum + "+/", 40), left + name + join + quote, quote + right
             elif kind == 6:
                 value, before, after = pick(alnum, r.randint(16, 48)), left + r.choice(["Bearer ", "authorization: ", name + join]) + quote, quote + right
-            else:
+            elif kind == 7:
                 value, before, after = pick(alnum + "_-", r.randint(16, 40)), left + name + join + quote, quote + right
-            out.append((value if _DIGIT.search(value) else value[:-1] + "7", before, after, path, 1))
+            elif kind == 8:  # short, often with other characters
+                value, before, after = pick(alnum + r.choice(["", "!@#&*?^~.", "!@#&*?^~.:"]), r.randint(8, 15)), left + name + join + quote, quote + right
+            elif kind == 9:  # a word disguised
+                value = r.choice(DICTIONARY).capitalize() + r.choice(["", "&", "!", "#", "@", "_"]) + pick(string.digits, r.randint(1, 4)) + r.choice(["", "!", "?", "&", "*"]) + pick(alnum, r.randint(2, 6))
+                value, before, after = value, left + name + join + quote, quote + right
+            elif kind == 10:  # letters alone
+                value, before, after = pick(string.ascii_letters, r.randint(16, 40)), left + name + join + quote, quote + right
+            elif kind == 11:
+                value = r.choice(["eyJ", "eyJ", "SG.", "M"]) + ".".join(pick(alnum + "_-", r.randint(16, 60)) for _ in range(r.choice([2, 3])))
+                before, after = left + r.choice(["", "Bearer ", name + join + quote]), right
+            elif r.random() < 0.5:
+                title = r.choice(["RSA ", "EC ", "OPENSSH ", ""]) + "PRIVATE KEY"
+                value, before, after = f"-----BEGIN {title}-----\n" + "\n".join(pick(alnum + "+/", 64) for _ in range(r.randint(2, 20))) + f"\n-----END {title}-----", left, right
+            else:
+                value, before, after = pick(alnum + "!#&*", r.randint(8, 20)), left + r.choice(["postgres", "https", "amqp", "redis"]) + "://" + pick(string.ascii_lowercase, 5) + ":", "@" + r.choice(DICTIONARY) + ".com " + right
+            out.append((value, before, after, path, 1))
             continue
-        kind = r.randrange(10)
+        kind = r.randrange(16)
         before, after = left, right
         if kind == 0:
             value, before = pick(hexa, 40), left + r.choice(["commit ", "sha1 ", "revision ", "commit: ", ""])
@@ -142,6 +187,26 @@ def labelled_findings(n: int = 4000, seed: int = 20) -> list[tuple[str, str, str
         elif kind == 8:
             value = pick(string.ascii_lowercase, r.randint(12, 20)) + pick(string.digits, r.randint(2, 4))
             value = value if len(value) >= MIN_LENGTH else value * 2
+        elif kind > 9:
+            named = left + r.choice(["password", "token", "secret", "api key", "key", "the key", "auth", "Bearer", "credentials"])
+            words = r.choice([DICTIONARY, [pick(string.ascii_lowercase, k) for k in (4, 5, 7, 9, 11)]])
+            if kind == 10:  # prose after a credential word
+                value, before = r.choice(words), named + r.choice([" ", " ", " is ", ": ", " was "])
+            elif kind == 11:
+                value, before = r.choice(["${%s}", "os.environ[%s]", "<%s>", "{{%s}}", "get_%s()", "config.%s", "your_%s_here", "changeme_%s", "%s_example", "$%s"]) % r.choice(words), named + r.choice(["=", " = ", ": "]) + r.choice(["", quote])
+            elif kind == 12:  # long words, and words joined
+                value = r.choice(["-", "_", "/", ""]).join(r.choice(words) for _ in range(4))
+                value = r.choice([str, str.upper, str.title])(value if len(value) >= MIN_LENGTH else value + r.choice(["-", ""]) + value)
+            elif kind == 13:
+                value = ".".join(r.choice(words) + r.choice(["", "", "2"]) for _ in range(r.randint(3, 5)))
+            elif kind == 14:  # short runs without a credential word
+                value = r.choice([f"20{pick(string.digits, 2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T", word.lower() + pick(string.digits, 4), pick(hexa, 8), pick(alnum, 10), word + "-v" + pick(string.digits, 2)])
+            elif r.random() < 0.4:
+                value = "-----BEGIN CERTIFICATE-----\n" + "\n".join(pick(alnum + "+/", 64) for _ in range(r.randint(2, 20))) + "\n-----END CERTIFICATE-----"
+            else:  # quoted prose
+                value, before, after = " ".join(r.choice(words) for _ in range(r.randint(2, 8))), named + r.choice(["=", ": "]) + '"', '"' + right
+            out.append((value, before, after, path, 0))
+            continue
         else:
             value, before = "_".join(r.choice(DICTIONARY) for _ in range(r.randint(3, 5))) + "_" + pick(string.digits, 2), left + r.choice(["", "see ", "token = ", "key: "])
         if len(value) < MIN_LENGTH:
@@ -212,7 +277,18 @@ def find(texts: list[str | None], paths: list[str | None], forest: Forest, least
     spans = [candidates(t) if t else [] for t in texts]
     rows = [features(t[s:e], t[max(0, s - CONTEXT) : s], t[e : e + CONTEXT], p) for t, p, own in zip(texts, paths, spans, strict=True) for s, e in own]
     score = iter(forest.predict(np.array(rows)) if rows else ())
-    return [(len(own), [x for x in own if next(score) >= least]) for own in spans]
+    return [(len(own), _joined([x for x in own if next(score) >= least])) for own in spans]
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def redact(text: str, spans: list[tuple[int, int]]) -> str:
