@@ -34,13 +34,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, *frames: DataFrame) -> None:
-    """Removes tables made by written() that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    for df in frames:
-        for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+class Scratch:
+    """Intermediate tables of one run, which clear() removes once what was made of them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.frames, self.tables = spark, [], []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.frames.append(f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}")
+        df.write.parquet(self.frames[-1])
+        return self.spark.read.schema(df.schema).parquet(self.frames[-1])
+
+    def table(self, saved: DataFrame) -> DataFrame:
+        """saved: a whole table of the catalogue."""
+        self.tables += re.findall(r"kf_parts_\w+", saved._jdf.queryExecution().analyzed().toString())[:1]
+        return saved
+
+    def clear(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        jvm = self.spark.sparkContext._jvm
+        for root in self.frames:
             path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.frames, self.tables = [], []
 
 
 def plain_text(name: str = "text"):

@@ -269,36 +269,58 @@ def _copies(seed=4, families=6, members=25):
     return rows + [(d, t) for d, t in ODD if t != "z" * 30_000]
 
 
-@pytest.mark.parametrize("frequent", [10, 2, 0])
-def test_jaccard_components(spark, frequent):
+@pytest.mark.parametrize("rare, frequent, ahead", [(3, 10, True), (0, 1, True), (0, 0, False), (3, 10, False)])
+def test_jaccard_components(spark, rare, frequent, ahead):
     rows = _copies()
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id bigint, text string, n_shingles int").repartition(4)
-    # many small buckets, and a limit so low that pairs of tokens carry the work
-    got = J.jaccard_components(df, frequent=frequent, turns=1 if frequent < 10 else 3, bucket_bytes=1 << 14)
+    # many small parts, limits so low that combinations carry the work, and the full index alone
+    got = J.jaccard_components(df, ahead=ahead, rare=rare, frequent=frequent, part_bytes=1 << 14)
     assert Counter(tuple(r) for r in got.collect()) == _components(rows)
 
 
-def test_jaccard_index_is_complete():
-    """Any two linked sets share an index entry."""
+@pytest.mark.parametrize("tile", [11, 1])
+def test_jaccard_links(spark, tile):
+    """All links between classes, against all pairs of sets; with tile 1 entries of more than two members are dealt as pairs of parts."""
+    rows = _copies()
+    links, labels = J.jaccard_links(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), rare=1, frequent=2, part_bytes=1 << 14, tile=tile)
+    shingles = J.Shingler()
+    sets = {J._class_of(t): t for t in (shingles((x or "").encode()) for _, x in rows) if len(t)}
+    assert {r["cls"] for r in labels.collect() if r["n"]} == set(sets)
+    want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(sets, 2) if J.linked(sets[a], sets[b])}
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+@pytest.mark.parametrize("percent", [80, 50, 95])
+def test_jaccard_index_is_complete(percent):
+    """Any two linked sets share an entry that passes the filters."""
     r = random.Random(2)
-    tokens = np.array([r.getrandbits(64) for _ in range(300)], np.uint64)
-    bits = 16
-    maps = np.zeros(1 << 13, np.uint8), np.zeros(1 << 13, np.uint8)
-    for t in tokens[:200]:
-        s = int(J._slot(np.array([t]), bits)[0])
-        maps[0][s >> 3] |= 1 << (s & 7)
-        if r.random() < 0.7:
-            maps[1][s >> 3] |= 1 << (s & 7)
+    tokens = np.array([r.getrandbits(64) for _ in range(900)], np.uint64)
+    level = dict(zip(tokens.tolist(), [r.choice([1, 2, 3, 5, 8, 12, 14]) for _ in tokens], strict=True))
     met = 0
-    for _ in range(1500):
-        base = r.sample(range(300), r.randint(1, 60))
-        other = [x for x in base if r.random() > 0.08] + r.sample(range(300), r.randint(0, 4))
+    for k in range(1500):
+        base = r.sample(range(900), r.choice([r.randint(1, 12), r.randint(1, 90), r.randint(300, 520)]) if k % 10 == 0 else r.randint(1, 80))
+        other = [x for x in base if r.random() > 0.06] + r.sample(range(900), r.randint(0, 4))
         a, b = (np.unique(tokens[x]) for x in (base, other or base))
-        if J.linked(a, b):
+        if J.linked(a, b, percent):
             met += 1
-            assert set(J.indexed(a, maps, bits, 80)[0].tolist()) & set(J.indexed(b, maps, bits, 80)[0].tolist())
-            assert np.bitwise_count(J.parity(a) ^ J.parity(b)).sum() <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
-    assert met > 300
+            (p, x, _), (q, y, _) = (J.entries(s, np.array([level[t] for t in s.tolist()], np.uint8), percent) for s in (a, b))
+            shared, i, j = np.intersect1d(p, q, return_indices=True)
+            both = -(-percent * (len(a) + len(b)) // (100 + percent))
+            assert len(shared) and (np.minimum(len(a) - x[i], len(b) - y[j]) >= both).any()
+            wide, slim = sorted((J.parities(a), J.parities(b)), key=len, reverse=True)
+            while len(wide) > len(slim):
+                wide = wide[: len(wide) // 2] ^ wide[len(wide) // 2 :]
+            assert np.bitwise_count(wide ^ slim).sum() <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+    assert met > 200
+
+
+def test_entries_of_a_long_set_are_few():
+    """A set of frequent tokens alone: single tokens beyond the limits, and bounded combinations below."""
+    r = random.Random(5)
+    for n in (50, 64, 80, 300, 400, 500, 20_000):
+        keys, places, _ = J.entries(np.array(sorted(r.getrandbits(64) for _ in range(n)), np.uint64), np.full(n, 14, np.uint8))
+        assert 0 < len(keys) <= max(4500, n // 4) and places.min() == 0
 
 
 def test_components_of_a_chain(spark):
