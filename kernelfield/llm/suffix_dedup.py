@@ -4,9 +4,12 @@ A byte goes if a string of length bytes that covers it also starts earlier (smal
 
 Every window of length bytes has an anchor: among its GRAM-byte grams the one with the smallest hash, the leftmost if equal.
 The anchor depends on the window's bytes alone, so equal windows have equal grams as anchors, at the same offset. Successive windows with one
-anchor form a superwindow, a piece of some 140 bytes; pieces are dealt by their anchor's hash over buckets, as compressed
-blocks, with equal pieces of a task sent once. Grams so frequent that they would overload a bucket are ranked last when anchors are chosen, so that they are
-anchors only of windows made of nothing else, which are equal and collapse.
+anchor form a superwindow, a piece of some 140 bytes. Grams so frequent that they would overload a bucket are ranked last when anchors are chosen, so
+that they are anchors only of windows made of nothing else, which are equal and collapse.
+
+Equal windows agree in half their length to the right of the anchor's start, or in the rest to its left. So hashes of these two contexts are
+counted over all documents first (tally.py), and only a piece of which one is found twice goes on: pieces are dealt by their anchor's hash over
+buckets, as compressed blocks, with equal pieces of a part sent once.
 
 In a bucket, the suffixes that start at anchors, and the reversed prefixes that end there, are sorted: multikey quicksort, with
 eight bytes as a character, to SHALLOW bytes, then blind tries for the groups that still agree. Order and common prefixes give
@@ -15,7 +18,7 @@ at depth length - o, and all of a pair but the earliest window are covered.
 
 Defined cases: null texts are empty; texts under length bytes lose nothing; a null key is later than all others; rows that share
 a key are ordered by start alone (equal pieces of different texts at one key and start are ties: only one travels, and the others get
-what is found for it), and equal rows get equal results; very long texts yield more pieces, none larger; extra
+what is found for it); equal rows are handled once and given back as often as they came; very long texts yield more pieces, none larger; extra
 input columns are ignored; an empty table gives no rows.
 """
 
@@ -32,7 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelfield.llm.common import lean, plain_text, table, trim
+from kernelfield.llm.common import Scratch, lean, plain_text, table, trim
+from kernelfield.llm.tally import Tally, parted
 
 LENGTH, GRAM, SHALLOW = 100, 16, 32
 SLOT_BITS = 22
@@ -54,7 +58,7 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, hot: np.ndarray | None, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Superwindows of a text of at least length bytes: first window, last window, anchor, all as positions, and the anchors' hashes."""
+    """Superwindows of a text of at least length bytes: first window, last window, anchor, all as positions, and the hashes of all grams."""
     h = gram_hashes(raw)
     key = (h >> np.uint64(33)) << np.uint64(32)
     if hot is not None:
@@ -70,11 +74,29 @@ def anchors(raw: np.ndarray, hot: np.ndarray | None, length: int = LENGTH) -> tu
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     turn = np.flatnonzero(at[1:] != at[:-1]) + 1
     first = np.concatenate(([0], turn))
-    return first, np.concatenate((turn - 1, [len(at) - 1])), at[first], h[at[first]]
+    return first, np.concatenate((turn - 1, [len(at) - 1])), at[first], h
+
+
+def contexts(low: np.ndarray, high: np.ndarray, at: np.ndarray, h: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of contexts of superwindows: number and hash of those to the right of an anchor's start, and of those to its left.
+
+    A window whose anchor is at offset o has half its bytes from there on if o <= length - half, else at least length - half bytes before.
+    """
+    half = length // 2
+
+    def chained(begin: np.ndarray, size: int, seed: np.uint64) -> np.ndarray:
+        out = np.full(len(begin), seed)
+        for k in sorted({*range(0, max(1, size - GRAM + 1), GRAM), max(0, size - GRAM)}):
+            out = (out ^ h[begin + k]) * _C[0]
+            out ^= out >> np.uint64(31)
+        return out * _C[2] ^ (out >> np.uint64(29))
+
+    right, left = np.flatnonzero(at - high <= length - half), np.flatnonzero(at - low >= length - half)
+    return right, chained(at[right], half, _C[0]), left, chained(at[left] - (length - half), length - half + GRAM, _C[1])
 
 
 _HEAD = struct.Struct("<QQ")
-_COLUMNS = (("doc", "<i8"), ("rid", "<u4"), ("low", "<u4"), ("size", "<u4"), ("off", "<u2"))
+_COLUMNS = (("doc", "<i8"), ("rid", "<i8"), ("low", "<u4"), ("size", "<u4"), ("off", "<u2"))
 
 
 class Pieces:
@@ -170,24 +192,51 @@ class BlindTrie:
             stack += [(c, node[0] if k else shared) for k, (_, c) in reversed(list(enumerate(children)))]
 
 
+def multikey_quicksort(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of words (each a string of characters) within their groups, and numbers of the runs that are equal.
+
+    All segments are partitioned at once: each takes the median of three of its characters at its depth as pivot, and falls into those
+    below, equal and above; the equal ones go on at the next character, the others stay at theirs.
+    """
+    n, width = words.shape
+    order = np.argsort(group, kind="stable")
+    number, depth = group[order], np.zeros(n, np.int64)
+    while n:
+        begins = np.concatenate(([True], number[1:] != number[:-1]))
+        start = np.flatnonzero(begins)
+        size = np.diff(np.append(start, n))
+        segment = np.cumsum(begins) - 1
+        number = 3 * segment
+        open_ = (size > 1) & (depth[start] < width)
+        if not open_.any():
+            break
+        at = np.flatnonzero(open_[segment])
+        own = (np.cumsum(open_) - 1)[segment[at]]
+        first, size = start[open_], size[open_]
+        character = lambda x: words[order[x], depth[x]]
+        low, mid, high = (character(x) for x in (first, first + size // 2, first + size - 1))
+        pivot = np.maximum(np.minimum(low, mid), np.minimum(np.maximum(low, mid), high))[own]
+        c = character(at)
+        side = (c >= pivot).astype(np.int64) + (c > pivot)
+        base, place = np.cumsum(size) - size, np.zeros(len(at), np.int64)
+        before = np.zeros(len(first), np.int64)
+        for k in range(3):
+            upto = np.cumsum(side == k)
+            here = upto - np.concatenate(([0], upto))[base][own]
+            place = np.where(side == k, before[own] + here - 1, place)
+            before = before + np.add.reduceat((side == k).astype(np.int64), base)
+        to = first[own] + place
+        order[to], depth[to], number[to] = order[at], depth[at] + (side == 1), number[at] + side
+    return order, number
+
+
 def deep_shallow(group: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorts the strings data[start : start + size] within their groups. Returns the order and what each shares with the one before (0 at the first of a group)."""
     n, width = len(group), SHALLOW
     at = start[:, None] + np.arange(width)
     rows = np.where(np.arange(width) < size[:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
     words = rows.view(">u8").astype(np.uint64)
-    # multikey quicksort: one partition by the character at each depth, of the groups that are not settled
-    order = np.argsort(group, kind="stable")
-    number = group[order]
-    for k in range(width // 8):
-        same = np.concatenate(([False], number[1:] == number[:-1])) if n else np.zeros(0, bool)
-        open_ = np.flatnonzero(same | np.concatenate((same[1:], [False])))
-        if not len(open_):
-            break
-        part = order[open_]
-        by = np.lexsort((words[part, k], number[open_]))
-        order[open_] = part[by]
-        number = np.cumsum(np.concatenate(([True], (number[1:] != number[:-1]) | (words[order[1:], k] != words[order[:-1], k]))))
+    order, number = multikey_quicksort(group, words)
     short = np.minimum(size[order], width)
     shared = np.zeros(n, np.int64)
     if n > 1:
@@ -344,24 +393,25 @@ def _merged(ranges: np.ndarray) -> np.ndarray:
     return np.stack([ranges[new, 0], high[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(high) - 1]))]], 1)
 
 
-def frequent_slots(rows: DataFrame, buckets: int, length: int) -> np.ndarray | None:
-    """A bitmap of the hash slots whose grams would be anchors so often that a bucket would be uneven; it has 2^SLOT_BITS bits at any input."""
+def frequent_slots(rows: DataFrame, buckets: int, length: int, scratch: Scratch) -> np.ndarray | None:
+    """A bitmap of the hash slots whose grams would be anchors so often that a bucket would be uneven; it has 2^SLOT_BITS bits at any input, of which one in 20 is set at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                if len(raw) >= length:
-                    np.add.at(found, _slots(anchors(np.frombuffer(raw, np.uint8), None, length)[3]), 1)
+            for value in batch.column(0):
+                raw = value.as_buffer()
+                if raw.size >= length:
+                    _, _, at, h = anchors(np.frombuffer(raw, np.uint8), None, length)
+                    np.add.at(found, _slots(h[at]), 1)
         total = int(found.sum())
         some = np.flatnonzero(found >= max(4, total // (16 * buckets)))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(found[some], total), pa.int64())], ["slot", "n"])
 
-    sums = rows.select("text").mapInArrow(lean(count), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    counts = sums.where(F.col("n") >= 64).collect()
-    total = next((r[1] for r in counts if r[0] == -1), 0)
+    sums = scratch.written(rows.select("text").mapInArrow(lean(count), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")), "slots")
+    total = (sums.where("slot = -1").first() or (0, 0))[1]
     least = max(64, total // (8 * buckets), 20 * total >> SLOT_BITS)
-    some = [r[0] for r in counts if r[0] >= 0 and r[1] > least]
+    some = [r[0] for r in sums.where((F.col("slot") >= 0) & (F.col("n") > least)).collect()]
     if not some:
         return None
     hot = np.zeros(1 << SLOT_BITS, np.uint8)
@@ -369,80 +419,101 @@ def frequent_slots(rows: DataFrame, buckets: int, length: int) -> np.ndarray | N
     return np.packbits(hot)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = 4 << 20, flush_bytes: int = 4 << 20, text: str = "text", key: str = "doc_id", texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = 4 << 20, flush_bytes: int = 16 << 20, part_bytes: int = 16 << 20, text: str = "text", key: str = "doc_id", texts: bool = False) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept_text, the remaining bytes as binary."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     raw = plain_text(text).cast("binary")
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(key).cast("bigint"), F.lit(_LAST)).alias("doc"), F.crc32(raw).alias("rid"), raw.alias("text"))
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(key).cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64(raw).alias("rid"), raw.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    hot = spark.sparkContext.broadcast(frequent_slots(rows, buckets, length))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if hot.value is None else np.unpackbits(hot.value)
-        pending, held = [], 0
-
-        def flushed() -> pa.RecordBatch:
-            sent = list(_sent(pending, buckets))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int64()), pa.array([x[1] for x in sent], pa.int32()), pa.array([x[2] for x in sent], pa.binary())], ["bucket", "kind", "data"])
+    buckets, parts = max(1, -(-total // bucket_bytes)), max(8, -(-total // part_bytes))
+    hot = spark.sparkContext.broadcast(frequent_slots(rows, buckets, length, scratch))
 
-        for batch in (b.slice(s, 256) for b in batches for s in range(0, b.num_rows, 256)):
-            for doc, rid, value in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if len(value) < length:
-                    continue
-                low, high, at, gram = anchors(np.frombuffer(value, np.uint8), bits, length)
-                pieces = b"".join([value[a : b + length] for a, b in zip(low.tolist(), high.tolist(), strict=True)])
-                n = len(low)
-                pending.append((np.full(n, doc), np.full(n, rid), low, high - low + length, at - low, gram, pieces))
-                held += len(pieces) // 4
-                if held >= flush_bytes:
-                    yield flushed()
-                    pending, held = [], 0
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack.compress(x.as_buffer()) for x in batch.column(3)], pa.binary())], ["doc_id", "doc", "rid", "packed"])
+
+    once = rows.mapInArrow(lean(squeezed), "doc_id bigint, doc bigint, rid bigint, packed binary").groupBy("doc_id", "doc", "rid").agg(F.first("packed").alias("packed"), F.count("*").alias("copies"))
+    part = F.pmod(F.xxhash64("doc", "rid"), F.lit(parts)).alias("part")
+    whole = scratch.table(parted(once.select("*", part), parts))
+
+    def cut(found: pa.Table) -> Iterator[tuple]:
+        """doc, rid, text and superwindows of each row that has any."""
+        bits, unpack = None if hot.value is None else np.unpackbits(hot.value), zstandard.ZstdDecompressor()
+        for doc, rid, packed in zip(found["doc"].to_pylist(), found["rid"].to_pylist(), found["packed"], strict=True):
+            value = unpack.decompress(packed.as_py())
+            if len(value) >= length:
+                yield doc, rid, value, *anchors(np.frombuffer(value, np.uint8), bits, length)
+
+    def hashes(found: pa.Table) -> tuple[np.ndarray, None]:
+        out = [np.zeros(0, np.uint64)]
+        for _, _, _, *wide in cut(found):
+            _, right, _, left = contexts(*wide, length)
+            out += [right, left]
+        return np.concatenate(out), None
+
+    def use(found: pa.Table, levels) -> pa.Table:
+        level, upto = levels(hashes(found)[0]), 0
+        pending, held, sent = [], 0, []
+        for doc, rid, value, low, high, at, h in cut(found):
+            right, a, left, b = contexts(low, high, at, h, length)
+            twice = np.zeros(len(low), bool)
+            twice[right] = level[upto : upto + len(a)] > 0
+            twice[left] |= level[upto + len(a) : upto + len(a) + len(b)] > 0
+            upto += len(a) + len(b)
+            low, high, at = low[twice], high[twice], at[twice]
+            n = len(low)
+            if not n:
+                continue
+            pieces = b"".join([value[a : b + length] for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+            pending.append((np.full(n, doc), np.full(n, rid), low, high - low + length, at - low, h[at], pieces))
+            held += len(pieces)
+            if held >= flush_bytes:
+                sent += _sent(pending, buckets)
+                pending, held = [], 0
         if pending:
-            yield flushed()
+            sent += _sent(pending, buckets)
+        return pa.table([pa.array([x[0] for x in sent], pa.int64()), pa.array([x[1] for x in sent], pa.int32()), pa.array([x[2] for x in sent], pa.binary())], ["bucket", "kind", "data"])
 
     def solve(found: pa.Table) -> pa.Table:
         kinds, data = found["kind"].to_pylist(), found["data"].to_pylist()
-        parts, marks = ([np.frombuffer(zstandard.ZstdDecompressor().decompress(d), "<i8").reshape(4, -1) for k, d in zip(kinds, data, strict=True) if k == kind] for kind in (1, 2))
+        ranges, marks = ([np.frombuffer(zstandard.ZstdDecompressor().decompress(d), "<i8").reshape(4, -1) for k, d in zip(kinds, data, strict=True) if k == kind] for kind in (1, 2))
         blocks = [d for k, d in zip(kinds, data, strict=True) if k == 0]
         if blocks:
             got = covered(Pieces.unpacked(blocks), length, np.concatenate(marks, 1) if marks else None)
-            parts.append(np.stack([got["doc"], got["rid"], got["low"], got["high"]]))
-        all_ = np.concatenate(parts, 1) if parts else np.zeros((4, 0), np.int64)
+            ranges.append(np.stack([got["doc"], got["rid"], got["low"], got["high"]]))
+        all_ = np.concatenate(ranges, 1) if ranges else np.zeros((4, 0), np.int64)
         trim()
         return pa.table([pa.array(all_[k], pa.int64()) for k in range(4)], ["doc", "rid", "low", "high"])
 
-    ranges = rows.select("doc", "rid", "text").mapInArrow(lean(cut), "bucket bigint, kind int, data binary").groupBy("bucket").applyInArrow(solve, "doc bigint, rid bigint, low bigint, high bigint")
-    lists = ranges.groupBy("doc", "rid").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * texts + ["__copies"]
+
+    def result(ranges: pa.Table, found: pa.Table) -> pa.Table:
+        doc, rid, low, high = (ranges[k].to_numpy() for k in ("doc", "rid", "low", "high"))
+        by = np.lexsort((low, rid, doc))
+        doc, rid, spans = doc[by], rid[by], np.stack([low[by], high[by]], 1)
+        edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]), [True]))) if len(by) else np.zeros(1, np.int64)
+        own = {(int(doc[a]), int(rid[a])): spans[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)}
+        out, unpack = [], zstandard.ZstdDecompressor()
+        for d, r, packed in zip(found["doc"].to_pylist(), found["rid"].to_pylist(), found["packed"], strict=True):
+            value = unpack.decompress(packed.as_py())
+            runs = _merged(own[d, r]).tolist() if (d, r) in own else []
+            kept, upto = [], 0
+            for a, b in runs:
+                kept.append(value[upto:a])
+                upto = b
+            rest = b"".join([*kept, value[upto:]])
+            out.append((len(value), len(value) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest if texts else b""))
+        arrays = [pa.array([x[k] for x in out], pa.int64()) for k in range(3)] + [pa.array([x[3] for x in out], pa.string())] + [pa.array([x[4] for x in out], pa.binary())] * texts
+        done = pa.table([found["doc_id"], *arrays, found["copies"]], names)
+        trim()
+        return done
 
-    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack.compress(x) for x in batch.column(3).to_pylist()], pa.binary())], ["doc_id", "doc", "rid", "packed"])
-
-    whole = rows.mapInArrow(lean(squeezed), "doc_id bigint, doc bigint, rid bigint, packed binary")
-
-    def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(s, 1024) for b in batches for s in range(0, b.num_rows, 1024)):
-            out = []
-            lists = batch.column(2)
-            flat = np.stack([lists.values.field(k).to_numpy() for k in range(2)], 1) if len(lists.values) else np.zeros((0, 2), np.int64)
-            offsets = lists.offsets.to_numpy()
-            for i, packed in enumerate(batch.column(1).to_pylist()):
-                value = zstandard.ZstdDecompressor().decompress(packed) if packed else b""
-                own = flat[offsets[i] : offsets[i + 1]] if lists[i].is_valid else flat[:0]
-                runs = _merged(own).tolist() if len(own) else []
-                kept, upto = [], 0
-                for a, b in runs:
-                    kept.append(value[upto:a])
-                    upto = b
-                rest = b"".join([*kept, value[upto:]])
-                out.append((len(value), len(value) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest if texts else b""))
-            arrays = [pa.array([x[k] for x in out], pa.int64()) for k in range(3)] + [pa.array([x[3] for x in out], pa.string())] + [pa.array([x[4] for x in out], pa.binary())] * texts
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * texts)
-
-    joined = whole.join(lists, ["doc", "rid"], "left").select("doc_id", "packed", "ranges")
-    return joined.mapInArrow(lean(result), f"`{key}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text binary" * texts)
+    pieces = Tally(total // 20).tell(whole, ["doc", "rid", "packed"], hashes, use, "bucket bigint, kind int, data binary")
+    ranges = pieces.groupBy("bucket").applyInArrow(solve, "doc bigint, rid bigint, low bigint, high bigint").select("*", part)
+    found = ranges.groupBy("part").cogroup(whole.select("part", "doc_id", "doc", "rid", "packed", "copies").groupBy("part")).applyInArrow(result, f"`{key}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text binary" * texts + ", __copies bigint")
+    return found.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).drop("__copies", "__copy")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import numpy as np
 
 from kernelfield.llm import suffix_dedup as S
+from kernelfield.llm.common import Scratch
 
 
 def brute(rows, length=100):
@@ -48,7 +49,28 @@ def test_whole_texts_against_brute_force(spark):
     rows = cases()
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id bigint, text string, n_bytes int").repartition(5)
     for size in (4 << 20, 3000):
-        assert key(tuple(r) for r in S.remove_repeats(docs, bucket_bytes=size).collect()) == key(brute(rows))
+        assert key(tuple(r) for r in S.remove_repeats(docs, bucket_bytes=size, part_bytes=size, flush_bytes=size).collect()) == key(brute(rows))
+
+
+def test_multikey_quicksort():
+    r = np.random.default_rng(4)
+    for n, width, most in ((0, 2, 3), (1, 1, 1), (500, 3, 3), (2000, 4, 2), (300, 2, 1000)):
+        words, group = r.integers(0, most, (n, width)).astype(np.uint64), r.integers(0, 7, n)
+        order, number = S.multikey_quicksort(group, words)
+        rows = [(int(group[i]), *words[i].tolist()) for i in order]
+        assert rows == sorted(rows) and sorted(order.tolist()) == list(range(n))
+        assert [a == b for a, b in zip(number, number[1:], strict=False)] == [a == b for a, b in zip(rows, rows[1:], strict=False)]
+
+
+def test_contexts_meet_in_equal_windows():
+    """Of two equal windows one context at least has the same hash."""
+    r = random.Random(8)
+    for length in (100, 40):
+        for _ in range(200):
+            core = bytes(r.choices(b"abc ", k=length + r.randint(0, 30)))
+            a, b = (np.frombuffer(bytes(r.choices(b"abc ", k=r.randint(0, 90))) + core + bytes(r.choices(b"abc ", k=r.randint(0, 90))), np.uint8) for _ in range(2))
+            x, y = ({int(v) for k in (1, 3) for v in S.contexts(*S.anchors(t, None, length), length)[k]} for t in (a, b))
+            assert x & y
 
 
 def test_texts_that_open_alike_under_one_key(spark):
@@ -71,7 +93,7 @@ def test_frequent_grams(spark):
     rows = [(i, " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(30)) + passage + str(r.random())) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     raw = docs.selectExpr("cast(text as binary) as text")
-    assert S.frequent_slots(raw, 50, 100) is not None
+    assert S.frequent_slots(raw, 50, 100, Scratch(spark)) is not None
     assert key(tuple(r) for r in S.remove_repeats(docs, bucket_bytes=2000).collect()) == key(brute(rows))
 
 
