@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -393,6 +393,17 @@ def _merged(ranges: np.ndarray) -> np.ndarray:
     return np.stack([ranges[new, 0], high[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(high) - 1]))]], 1)
 
 
+def _joined(ranges: np.ndarray) -> np.ndarray:
+    """Rows doc, rid, low, high, with those of a text that touch made one."""
+    ranges = ranges[:, np.lexsort((ranges[2], ranges[1], ranges[0]))]
+    text = np.cumsum(np.concatenate((np.zeros(1, np.int64), (ranges[:2, 1:] != ranges[:2, :-1]).any(0)))) if ranges.shape[1] else np.zeros(0, np.int64)
+    if not len(text):
+        return ranges
+    runs = _merged(np.stack([text << 32 | ranges[2], text << 32 | ranges[3]], 1))
+    first = np.searchsorted(text, runs[:, 0] >> 32)
+    return np.stack([ranges[0, first], ranges[1, first], runs[:, 0] & 0xFFFFFFFF, runs[:, 1] & 0xFFFFFFFF])
+
+
 def frequent_slots(rows: DataFrame, buckets: int, length: int, scratch: Scratch) -> np.ndarray | None:
     """A bitmap of the hash slots whose grams would be anchors so often that a bucket would be uneven; it has 2^SLOT_BITS bits at any input, of which one in 20 is set at most."""
 
@@ -439,25 +450,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = 4
     whole = scratch.table(parted(once.select("*", part), parts))
 
     def cut(found: pa.Table) -> Iterator[tuple]:
-        """doc, rid, text and superwindows of each row that has any."""
+        """doc, rid, text, superwindows, their grams and contexts, of each row that has any."""
         bits, unpack = None if hot.value is None else np.unpackbits(hot.value), zstandard.ZstdDecompressor()
         for doc, rid, packed in zip(found["doc"].to_pylist(), found["rid"].to_pylist(), found["packed"], strict=True):
             value = unpack.decompress(packed.as_py())
             if len(value) >= length:
-                yield doc, rid, value, *anchors(np.frombuffer(value, np.uint8), bits, length)
+                low, high, at, h = anchors(np.frombuffer(value, np.uint8), bits, length)
+                yield doc, rid, value, low, high, at, h[at], contexts(low, high, at, h, length)
+
+    def in_order(windows: Iterable[tuple]) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(x[-1][k] for x in windows for k in (1, 3))])
 
     def hashes(found: pa.Table) -> tuple[np.ndarray, None]:
-        out = [np.zeros(0, np.uint64)]
-        for _, _, _, *wide in cut(found):
-            _, right, _, left = contexts(*wide, length)
-            out += [right, left]
-        return np.concatenate(out), None
+        return in_order((x[-1],) for x in cut(found)), None
 
     def use(found: pa.Table, levels) -> pa.Table:
-        level, upto = levels(hashes(found)[0]), 0
+        windows = list(cut(found))
+        level, upto = levels(in_order(windows)), 0
         pending, held, sent = [], 0, []
-        for doc, rid, value, low, high, at, h in cut(found):
-            right, a, left, b = contexts(low, high, at, h, length)
+        for doc, rid, value, low, high, at, gram, (right, a, left, b) in windows:
             twice = np.zeros(len(low), bool)
             twice[right] = level[upto : upto + len(a)] > 0
             twice[left] |= level[upto + len(a) : upto + len(a) + len(b)] > 0
@@ -467,7 +478,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = 4
             if not n:
                 continue
             pieces = b"".join([value[a : b + length] for a, b in zip(low.tolist(), high.tolist(), strict=True)])
-            pending.append((np.full(n, doc), np.full(n, rid), low, high - low + length, at - low, h[at], pieces))
+            pending.append((np.full(n, doc), np.full(n, rid), low, high - low + length, at - low, gram[twice], pieces))
             held += len(pieces)
             if held >= flush_bytes:
                 sent += _sent(pending, buckets)
@@ -483,7 +494,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = 4
         if blocks:
             got = covered(Pieces.unpacked(blocks), length, np.concatenate(marks, 1) if marks else None)
             ranges.append(np.stack([got["doc"], got["rid"], got["low"], got["high"]]))
-        all_ = np.concatenate(ranges, 1) if ranges else np.zeros((4, 0), np.int64)
+        all_ = _joined(np.concatenate(ranges, 1)) if ranges else np.zeros((4, 0), np.int64)
         trim()
         return pa.table([pa.array(all_[k], pa.int64()) for k in range(4)], ["doc", "rid", "low", "high"])
 
