@@ -60,6 +60,14 @@ class Scratch:
         self.frames, self.tables = [], []
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """name, with as many underscores before it as keep it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def plain_text(name: str = "text"):
     """The column with null as the empty string."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelfield.llm.common import WORD_SQL, Scratch, lean, plain_text, table, trim, written
+from kernelfield.llm.common import WORD_SQL, Scratch, lean, plain_text, table, trim, unused, written
 from kernelfield.llm.tally import Tally, parted
 
 WORDS, PERCENT = 5, 80
@@ -587,11 +587,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: that of the least id, then text hash, then row number. Rows without words are groups by their id, and apart without one."""
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    best = Join(numbered, row="__row").grouped().groupBy("c2").agg(F.min("own").alias("own")).select("own.row")
-    bare = numbered.where(~plain_text("text").rlike(WORD_SQL)).select(F.col("doc_id").alias("id"), F.struct(F.xxhash64(plain_text("text")).alias("salt"), F.col("__row").alias("row")).alias("own"))
+    row, kept = unused("__row", docs), unused("__kept", docs)
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    best = Join(numbered, row=row).grouped().groupBy("c2").agg(F.min("own").alias("own")).select("own.row")
+    bare = numbered.where(~plain_text("text").rlike(WORD_SQL)).select(F.col("doc_id").alias("id"), F.struct(F.xxhash64(plain_text("text")).alias("salt"), F.col(row).alias("row")).alias("own"))
     keep = best.unionByName(bare.where("id is null").select("own.row")).unionByName(bare.where("id is not null").groupBy("id").agg(F.min("own").alias("own")).select("own.row"))
-    return numbered.join(keep, F.col("__row") == F.col("row"), "left_semi").drop("__row")
+    return numbered.join(keep.select(F.col("row").alias(kept)), F.col(row) == F.col(kept), "left_semi").drop(row)
 
 
 ORACLE = r"""

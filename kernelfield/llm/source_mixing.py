@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kernelfield.llm.common import WORD_SQL, plain_text, table, written
+from kernelfield.llm.common import WORD_SQL, plain_text, table, unused, written
 
 EPS = 1e-9
 _UNIT = "struct<size:bigint,doc_id:bigint,salt:bigint,whole:int,p:double,row:bigint>"
@@ -136,6 +136,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: each row as often as it is taken. Rows are told apart by a written number, as keys may be null or repeat."""
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    taken = mix(numbered, row="__row").where(F.col("copies") > 0).select(F.col("row").alias("__taken"), "copies")
-    return numbered.join(taken, F.col("__row") == F.col("__taken")).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    row, of, copies, copy = (unused(x, docs) for x in ("__row", "__of", "__copies", "__copy"))
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered, row=row).where(F.col("copies") > 0).select(F.col("row").alias(of), F.col("copies").cast("int").alias(copies))
+    return numbered.join(taken, F.col(row) == F.col(of)).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)

@@ -422,8 +422,35 @@ def test_every_language_is_learned(spark):
 def test_language_kernel_by_hand():
     x, y = "abc", "abd"
     grams = lambda s: {s[i : i + n] for n in range(1, 5) for i in range(len(s) - n + 1)}
-    a, b = LID.presence([x, y])
-    assert float(a @ b) == pytest.approx(len(grams(x) & grams(y)) / math.sqrt(len(grams(x)) * len(grams(y))), rel=1e-5)
+    assert float(LID.kernel([x], [y])[0, 0]) == pytest.approx(len(grams(x) & grams(y)) / math.sqrt(len(grams(x)) * len(grams(y))), rel=1e-5)
+
+
+def test_language_model_against_a_dense_solution():
+    """Scores of the folded model, against kernels, whitening and ridge regression on n-grams as strings."""
+    r = random.Random(7)
+    texts = ["".join(r.choices("abcd" if i % 3 else "cdef", k=r.randint(3, 60))) for i in range(60)]
+    langs = ["x" if i % 3 else "y" for i in range(60)]
+    grams = lambda s: {s[i : i + n] for n in range(1, 5) for i in range(len(s) - n + 1)}
+    k = lambda a, b: len(grams(a) & grams(b)) / math.sqrt(len(grams(a)) * len(grams(b)))
+    marks = [i for x in ("x", "y") for i in [j for j in range(60) if langs[j] == x][:8]]
+    inner = np.array([[k(texts[i], texts[j]) for j in marks] for i in marks])
+    values, vectors = np.linalg.eigh(inner)
+    assert values.min() > 1e-6
+    phi = lambda ts: np.array([[k(t, texts[j]) for j in marks] for t in ts]) @ vectors @ np.diag(values**-0.5) @ vectors.T
+    w = np.array([1 / langs.count(x) for x in langs])
+    w /= w.sum()
+    f, y = phi(texts), np.array([[1.0 if x == z else -1.0 for z in ("x", "y")] for x in langs])
+    mf, my = w @ f, w @ y
+    beta = np.linalg.solve((f - mf).T @ np.diag(w) @ (f - mf) + 1e-2 / 60 * np.eye(len(marks)), (f - mf).T @ np.diag(w) @ (y - my))
+    fresh = ["".join(r.choices("abcdef", k=r.randint(1, 80))) for _ in range(30)]
+    got = LID.Model.fit(texts, langs, landmarks=8).values(fresh, LID.Presence())
+    assert np.allclose(got, phi(fresh) @ beta + my - mf @ beta, atol=2e-4)
+
+
+def test_language_stage_with_clashing_names(spark, docs):
+    more = docs.selectExpr("*", "1 as score", "'a' as lang_pred", "'b' as __text")
+    kept = LID.stage(spark, more, SF)
+    assert kept.columns == more.columns and kept.count() == LID.stage(spark, docs, SF).count()
 
 
 # 8
