@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernelfield.functions import tensors as T
@@ -49,6 +49,13 @@ def closure(wanted) -> set[str]:
     return found
 
 
+def compiled_methods(spark: SparkSession, most: int = 8000) -> None:
+    """From now on the session runs plans whose generated method is over 8000 bytes operator by operator: the JVM never compiles such a method, and interpreting the one of ten samples a pair takes five times as long."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name, "65535")) > most:
+        spark.conf.set(name, str(most))
+
+
 @dataclass(frozen=True)
 class Fields:
     """Lazy field tables: each property is a DataFrame keyed by t, node, phase (0: bulk).
@@ -82,7 +89,9 @@ class Fields:
     @cached_property
     def contact_pairs(self) -> DataFrame:
         # a contact fans out to many pairs of ten samples each: small inputs must not have been merged into a few partitions
-        n = int(self.directed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spark = self.directed.sparkSession
+        compiled_methods(spark)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         near = match(self.directed.repartition(n, "t", "id"), self.grid, self.kernel.c)
         r, b = (tuple(F.col(f"{k}{a}") for a in AXES) for k in ("r", "b"))
         return with_line_weight(near, self.kernel.name, self.kernel.mode, self.kernel.literals, r, b, "wint")

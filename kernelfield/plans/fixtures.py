@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kernelfield.operators.grid import Lattice
@@ -26,13 +26,16 @@ FROM (SELECT s.t AS t, p_partkey AS id,
         CAST(2500 + 250*(p_size % 3) AS DOUBLE) AS density
       FROM {part} CROSS JOIN (VALUES {steps}) AS s(t)) q
 """
+#: Contacts are numbered in this order; Spark does so in runs of ORDERS orders.
+ORDER, ORDERS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"], 4096
+NUMBER = f"row_number() OVER (ORDER BY {','.join(ORDER)})"
 CONTACTS = """
 SELECT 0 AS t,
-       row_number() OVER (ORDER BY l_orderkey,l_linenumber,l_partkey,l_suppkey,l_extendedprice,l_quantity,l_shipdate) AS row_idx,
+       {number} AS row_idx,
        l_partkey AS i, (l_partkey + l_suppkey*13 + l_linenumber) % n.n AS j,
        CAST(l_quantity-25 AS DOUBLE)/10 AS fx, CAST(l_discount AS DOUBLE)*100-5 AS fy, CAST(l_extendedprice-50000 AS DOUBLE)/10000 AS fz
 FROM {lineitem} CROSS JOIN (SELECT count(*) AS n FROM {part}) n
-"""
+""".replace("{number}", NUMBER)
 
 
 def particles(spark: SparkSession, sf_dir: str, steps: int = 1) -> DataFrame:
@@ -42,8 +45,14 @@ def particles(spark: SparkSession, sf_dir: str, steps: int = 1) -> DataFrame:
 
 def contacts(spark: SparkSession, sf_dir: str, points: bool = False) -> DataFrame:
     """points: with contact points half-way between the centres."""
-    rows = spark.sql(CONTACTS, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
-    # numbering all rows leaves one partition, and the work on pairs that follows needs many
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("run", F.expr(f"l_orderkey div {ORDERS}"))
+    # rows are numbered within runs of orders, and the rows before a run are counted: no task sorts them all
+    sizes = lineitem.groupBy("run").agg(F.count("*").alias("size"))
+    before = sizes.select("run", (F.sum("size").over(Window.orderBy("run")) - F.col("size")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("run").orderBy(*ORDER))
+    numbered = lineitem.withColumn("within", within).join(F.broadcast(before), "run").withColumn("row_idx", F.col("before") + F.col("within"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = spark.sql(CONTACTS.replace(NUMBER, "row_idx"), lineitem=numbered, part=part)
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i", "j")
     if not points:
         return rows
