@@ -3,20 +3,51 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kernelfield.operators.aggregate import guarded
 from kernelfield.operators.grid import AXES
 
 
-def band_planes(low: float, high: float, dy: float, n: int = 5) -> tuple[list[float], list[list[float]]]:
-    """Centres of bands of height dy, the first centred at low, and the 2n + 1 sub-planes of each."""
-    edges = np.arange(low - dy / 2, high + dy, dy)
-    centres = (edges[:-1] + edges[1:]) / 2
-    return centres.tolist(), [[float(z - dy / 2 + m * dy / (2 * n)) for m in range(2 * n + 1)] for z in centres]
+@dataclass(frozen=True)
+class Bands:
+    """Bands of height dy, the first centred at low, up to the one that reaches beyond high. Each has 2n + 1 evenly spaced sub-planes from its lower to its upper edge.
+
+    So all sub-planes are at multiples of dy / 2n above the lowest edge, and a height finds its own by division; the last of a band
+    and the first of the next are at one height.
+    """
+
+    low: float
+    high: float
+    dy: float
+    n: int = 5
+
+    @property
+    def count(self) -> int:
+        return max(0, math.ceil((self.high - self.low) / self.dy + 1.5) - 1)
+
+    @property
+    def planes(self) -> int:
+        """In a band."""
+        return 2 * self.n + 1
+
+    def centre(self, k):
+        """Height of band k, from 0; of numbers or columns."""
+        return self.low + k * self.dy
+
+    def plane(self, k, m):
+        """Height of sub-plane m, from 1, of band k."""
+        return self.centre(k) - self.dy / 2 + (m - 1) * self.dy / (2 * self.n)
+
+    def nearest(self, y: Column) -> Column:
+        """k * planes + m - 1 of the sub-plane nearest to y, the first of equally near ones."""
+        per, last = 2 * self.n, 2 * self.n * self.count
+        step = F.least(F.lit(last), F.greatest(F.lit(0), F.ceil(((y - F.lit(self.low)) / F.lit(self.dy) + F.lit(0.5)) * F.lit(float(per)) - F.lit(0.5)).cast("int")))
+        band = F.greatest(F.ceil(step / F.lit(float(per))).cast("int") - 1, F.lit(0))
+        return step + band
 
 
 def window_weight(m: int, n: int) -> float:
@@ -31,17 +62,15 @@ def band_temperature(particles: DataFrame, low: float, high: float, dy: float, n
     fluctuation is against the mean velocity of the sub-plane nearest to its centre, the first of equally near ones. Sub-planes without
     particles count as 0 in a band's means.
     """
-    centres, planes = band_planes(low, high, dy, n)
-    count, flat = 2 * n + 1, [z for band in planes for z in band]
+    bands_ = Bands(low, high, dy, n)
+    count = bands_.planes
     half = dy / (2 * n) / 2
-    heights = F.array(*[F.lit(z) for z in flat])
     y, r = F.col("y"), F.col("diameter") / F.lit(2.0)
-    first = F.greatest(F.lit(0), F.floor((y - r - F.lit(half + centres[0] + dy / 2)) / F.lit(dy)).cast("int") - 1)
-    last = F.least(F.lit(len(centres) - 1), F.ceil((y + r + F.lit(half - centres[0] + dy / 2)) / F.lit(dy)).cast("int") + 1)
-    nearest = F.array_min(F.transform(heights, lambda z, i: F.struct(F.abs(y - z).alias("d"), i.alias("i"))))["i"]
-    base = particles.select("t", "id", "y", "vx", "vy", "vz", "density", "mass", r.alias("r"), first.alias("k0"), last.alias("k1"), nearest.alias("near"))
+    first = F.greatest(F.lit(0), F.floor((y - r - F.lit(half + low + dy / 2)) / F.lit(dy)).cast("int") - 1)
+    last = F.least(F.lit(bands_.count - 1), F.ceil((y + r + F.lit(half - low + dy / 2)) / F.lit(dy)).cast("int") + 1)
+    base = particles.select("t", "id", "y", "vx", "vy", "vz", "density", "mass", r.alias("r"), first.alias("k0"), last.alias("k1"), bands_.nearest(y).alias("near"))
     spread = base.where("k0 <= k1").withColumn("k", F.explode(F.sequence("k0", "k1"))).withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(count))))
-    at = spread.withColumn("plane", F.col("k") * count + F.col("m") - 1).withColumn("zp", F.element_at(heights, F.col("plane") + 1))
+    at = spread.withColumn("plane", F.col("k") * count + F.col("m") - 1).withColumn("zp", bands_.plane(F.col("k"), F.col("m")))
     met = at.where((F.col("y") + F.col("r") >= F.col("zp") - F.lit(half)) & (F.col("y") - F.col("r") <= F.col("zp") + F.lit(half)))
     dist = F.abs(F.col("zp") - F.col("y"))
     met = met.withColumn("ar", F.lit(math.pi) * F.greatest(F.col("r") * F.col("r") - dist * dist, F.lit(0.0)) * F.col("density"))
@@ -59,7 +88,7 @@ def band_temperature(particles: DataFrame, low: float, high: float, dy: float, n
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), F.col("m"))
     lammps = (F.sum(F.col("energy") / (F.lit(3.0) * F.col("n") * F.col("mean_mass"))) / F.lit(float(count))).alias("lammps")
     bands = per_plane.groupBy("t", "k").agg(*[(F.sum(w * guarded(F.col(f"s{x}"), F.col("a"))) / F.lit(sum(weights))).alias(f"kamrin_{x}") for x in AXES], lammps)
-    every = particles.select("t").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(centres) - 1))))
-    z = F.element_at(F.array(*[F.lit(c) for c in centres]), F.col("k") + 1)
+    every = particles.select("t").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(bands_.count - 1))))
+    z = bands_.centre(F.col("k"))
     out = every.join(bands, ["t", "k"], "left")
     return out.select("t", "k", z.alias("z"), *[F.coalesce(f"kamrin_{x}", F.lit(0.0)).alias(f"t_kamrin_{x}") for x in AXES], *[F.coalesce("lammps", F.lit(0.0)).alias(f"t_lammps_{x}") for x in AXES])

@@ -76,6 +76,11 @@ class CoarseGrainer:
     def bounds(self) -> list[tuple[float, float]]:
         return self._once("bounds", lambda: [(r[1], r[2]) for r in sorted(S.particle_bounds(self.sample).collect())])
 
+    @property
+    def clustered(self) -> DataFrame:
+        """Phases by clustering, which both the phase table and the particles take."""
+        return self._once("clustered", lambda: S.kmeans_phases(self.sample, self.config.most_phases))
+
     @property
     def phase_table(self) -> DataFrame | None:
         """phase, diameter, density; None for a bulk run."""
@@ -84,7 +89,7 @@ class CoarseGrainer:
             if self.config.phase_by == "none":
                 return None
             if self.config.phase_by == "kmeans":
-                return S.kmeans_phases(self.sample, self.config.most_phases).groupBy("phase").agg(F.first("diameter").alias("diameter"), F.first("density").alias("density"))
+                return self.clustered.groupBy("phase").agg(F.first("diameter").alias("diameter"), F.first("density").alias("density"))
             if self.config.phase_by == "given":
                 return self.sample.groupBy("phase").agg(F.avg("diameter").alias("diameter"), F.avg("density").alias("density"))
             return S.distinct_phases(self.sample).drop("n")
@@ -100,7 +105,7 @@ class CoarseGrainer:
             if self.config.phase_by == "none":
                 p = p.withColumn("phase", F.lit(1))
             elif self.config.phase_by == "kmeans":
-                p = p.drop("phase").join(S.kmeans_phases(self.sample, self.config.most_phases).select("id", "phase"), "id")
+                p = p.drop("phase").join(self.clustered.select("id", "phase"), "id")
             elif self.config.phase_by == "distinct":
                 p = p.drop("phase").join(S.with_distinct_phase(self.sample).select("id", "phase"), "id")
             if "coordination" not in p.columns and self.contacts is not None:

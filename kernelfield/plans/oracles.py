@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from kernelfield.functions.kernels import Kernel, line_nodes
-from kernelfield.operators.slices import band_planes, window_weight
 from kernelfield.plans import fixtures as X
 
 AXES = "xyz"
@@ -179,12 +178,15 @@ def lsq(mode: str) -> list[str]:
 
 
 def bands(low: float, high: float, dy: float, n: int = 5) -> str:
-    centres, planes = band_planes(low, high, dy, n)
-    values = ", ".join(f"({k * (2 * n + 1) + m}, {k}, {m + 1}, {lit(z)}, {lit(centres[k])}, {lit(window_weight(m + 1, n))})" for k, band in enumerate(planes) for m, z in enumerate(band))
+    count = 2 * n + 1
+    planes = (
+        f"pl AS MATERIALIZED (SELECT k*{count} + m - 1 AS i, k, m, {lit(low)} + k*{lit(dy)} - {lit(dy)}/2e0 + (m-1)*{lit(dy)}/{lit(2 * n)} AS zp, {lit(low)} + k*{lit(dy)} AS zk, (1e0 + cos(pi()*(m - {n + 1})/{lit(n)}))/2e0 AS wm"
+        f" FROM range(1000000) AS a(k), range(1, {count + 1}) AS b(m) WHERE {lit(low)} + k*{lit(dy)} + {lit(dy)}/2e0 < {lit(high)} + {lit(dy)})"
+    )
     half = lit(dy / (2 * n) / 2)
     ctes = [
         particles(),
-        f"pl(i, k, m, zp, zk, wm) AS (VALUES {values})",
+        planes,
         "near AS MATERIALIZED (SELECT id, arg_min(i, struct_pack(d := abs(y - zp), i := i)) AS ni FROM p CROSS JOIN pl GROUP BY id)",
         f"met AS MATERIALIZED (SELECT p.*, pl.i, k, m, wm, {lit(3.141592653589793)} * greatest((diameter/2e0)*(diameter/2e0) - abs(zp-y)*abs(zp-y), 0e0) * density AS ar FROM p JOIN pl ON y + diameter/2e0 >= zp - {half} AND y - diameter/2e0 <= zp + {half})",
         "vel AS MATERIALIZED (SELECT i, " + ", ".join(f"CASE WHEN sum(ar)=0 THEN 0e0 ELSE sum(ar*v{a})/sum(ar) END AS u{a}" for a in AXES) + " FROM met GROUP BY i)",

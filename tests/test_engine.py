@@ -192,7 +192,7 @@ def test_engine_runs_end_to_end(spark):
     out = engine.run()
     assert out.count() == engine.grid.size * 4 * 2
     assert out.where("phase = 0 and density_mixture > 0").count() > 0
-    assert engine.slices().count() == 2 * len(L.band_planes(0.2, 0.8, engine.grid.spacing[1])[0])
+    assert engine.slices().count() == 2 * L.Bands(0.2, 0.8, engine.grid.spacing[1]).count
     swept = engine.sweep([0.75, 2.0, 5.0], (0.5, 0.5, 0.5))
     assert swept.count() == 27 * 3
     with pytest.raises(ValueError):
@@ -216,3 +216,15 @@ def test_engine_writes_all_outputs(spark, tmp_path):
     assert {r["label"] for r in spark.read.parquet(str(tmp_path / "out" / "phases")).select("label").collect()} >= {"Bulk"}
     assert spark.read.parquet(str(tmp_path / "out" / "slices")).count() > 0
     assert len(list((tmp_path / "img").iterdir())) == 8
+
+
+def test_bands(spark):
+    """Sub-planes by index, against their heights written out."""
+    b = L.Bands(0.1, 0.95, 0.1, 3)
+    heights = [b.plane(k, m) for k in range(b.count) for m in range(1, b.planes + 1)]
+    assert b.centre(b.count - 1) + 0.05 >= 0.95 and b.planes == 7 and heights[0] == pytest.approx(0.05) and heights[6] == pytest.approx(heights[7])
+    ys = [-1.0, 0.0501, 0.149, 0.1523, 0.5, 0.777, 0.9999, 3.0]
+    got = [r[0] for r in spark.createDataFrame([(y,) for y in ys], "y double").select(b.nearest(F.col("y"))).collect()]
+    for y, i in zip(ys, got, strict=True):
+        near = min(abs(y - z) for z in heights)
+        assert abs(y - heights[i]) == pytest.approx(near) and i == next(j for j, z in enumerate(heights) if abs(y - z) <= near + 1e-9)

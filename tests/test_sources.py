@@ -128,8 +128,9 @@ def test_images(spark, tmp_path):
     assert thick.counts == (4, 3, 2) and more["density_mixture"].shape == (4, 3, 2)
     sinks.write_vti(str(tmp_path / "a.vti"), grid, arrays)
     assert 'WholeExtent="0 3 0 2 0 1"' in (tmp_path / "a.vti").read_text()
-    found = sinks.image_findings(Lattice((0, 0, 0), (1, 20, 1), (5, 5, 600)), arrays)
-    assert not found["valid"] and len(found["issues"]) == 3 and found["kinds"]["velocity"] == "vector"
+    found = sinks.image_doubts(Lattice((0, 0, 0), (1, 20, 1), (5, 5, 600)), {"velocity": arrays["velocity"]})
+    assert {(x.about, x.where, x.grave) for x in found} == {("spacing", "xy", True), ("spacing", "yz", True), ("counts", "xz", True), ("counts", "yz", True), ("shape", "velocity", True), ("orientation", "xy", False)}
+    assert not sinks.image_doubts(grid, arrays) and sinks.kind_of(arrays["velocity"].reshape(-1, 3)) == "vector"
     assert sinks.dimensions_of(sinks.extent_of((4, 3, 2))) == (4, 3, 2) and sinks.cell_dimensions((4, 3, 1)) == (3, 2, 1) and sinks.cell_extent((0, 3, 0, 2, 0, 0)) == (0, 2, 0, 1, 0, 0)
 
 
