@@ -473,23 +473,40 @@ def test_token_counts(spark, docs, odd):
 # 9
 
 
+def _best(rows, every=50, k=5):
+    fine = [(a, [math.floor(256 * x) for x in b]) for a, b in rows if b and all(x is not None and math.isfinite(x) for x in b)]
+    want = Counter()
+    for i, (q, v) in enumerate(fine):
+        if q is not None and q % every == 0:
+            score = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), c is None, c or 0) for j, (c, w) in enumerate(fine) if j != i))[:k]
+            want.update((q, n + 1, None if gone else c, -s) for n, (s, gone, c) in enumerate(score))
+    return want
+
+
 def test_top_k(spark):
     r = np.random.default_rng(2)
     rows = [(i, r.normal(size=8).round(2).tolist()) for i in range(400)] + [(400 + i, [1.0] * 8) for i in range(120)]
     rows += [(600, None), (650, [1.0, None]), (700, [float("nan")] * 8), (750, [float("inf")] * 8), (None, [1.0] * 8), (800, [0.5, 0.25]), (850, [1e9] * 8)]
+    rows += [(50, [2.0] * 8), (50, [2.0] * 8), (None, [3.0] * 8), (None, [3.0] * 8), (900, [0.0] * 8)]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id bigint, embedding array<double>, score int").repartition(3)
-    fine = {a: [math.floor(256 * x) for x in b] for a, b in rows if a is not None and b and all(x is not None and math.isfinite(x) for x in b)}
-    want = set()
-    for q, v in fine.items():
-        if q % 50 == 0:
-            score = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), k) for k, w in fine.items() if k != q))[:5]
-            want |= {(q, n + 1, k, -s) for n, (s, k) in enumerate(score)}
-    for blocks in (4096, 16):
-        assert {tuple(x) for x in TK.top_k(df, pivots=7, block_rows=blocks).collect()} == want
+    for blocks, pivots in ((4096, 7), (16, 7), (5, 3), (4096, None)):
+        assert Counter(tuple(x) for x in TK.top_k(df, pivots=pivots, block_rows=blocks).collect()) == _best(rows)
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(x) for x in TK.top_k(few).collect()] == [(0, 1, 1, 256 * 512)]
 
 
+def test_top_k_copies_only_where_needed(spark):
+    """Clustered vectors: under a third of the pairs of query and block; random ones stay exact."""
+    r = np.random.default_rng(5)
+    middle = r.normal(size=(40, 16))
+    middle /= np.linalg.norm(middle, axis=1)[:, None]
+    rows = [(i, (middle[i % 40] + 0.02 * r.normal(size=16)).tolist()) for i in range(4000)]
+    join = TK.VoronoiJoin(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4), pivots=64, block_rows=64)
+    got = Counter(tuple(x) for x in join.search(50).collect())
+    assert sum(got.values()) == 80 * 5 and got == _best(rows)
+    assert 3 * (join.routes(join.asked, False).count() + 80) < 80 * int(join.blocks.sum())
+
+
 # 10
 
 
