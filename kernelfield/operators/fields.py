@@ -49,6 +49,12 @@ def closure(wanted) -> set[str]:
     return found
 
 
+def needs_contacts(wanted, counted: bool) -> bool:
+    """Whether any field wanted comes from contacts; counted: particles bring their number of contacts."""
+    every = closure(wanted)
+    return bool(every & {"contact_tensor", "fabric_tensor", "coordination_number_without_rattlers"}) or "coordination_number" in every and not counted
+
+
 def compiled_methods(spark: SparkSession, most: int = 8000) -> None:
     """From now on the session runs plans whose generated method is over 8000 bytes operator by operator: the JVM never compiles such a method, and interpreting the one of ten samples a pair takes five times as long."""
     name = "spark.sql.codegen.hugeMethodLimit"

@@ -19,7 +19,8 @@ from kernelfield.operators import sweep as W
 from kernelfield.operators.fields import Fields, bulk_fabric
 from kernelfield.plans import fixtures as X
 from kernelfield.plans import oracles as O
-from kernelfield.sources import sinks
+from kernelfield.plans import runs
+from kernelfield.sources import files, sinks, vtk
 
 AXES, PAIRS = "xyz", T.PAIRS
 QUERIES: dict = {}
@@ -44,6 +45,11 @@ def R(column, name: str, digits: int = 9):
     return (F.round(c, digits) + F.lit(0.0)).alias(name)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _fields(spark: SparkSession, sf_dir: str, phased: bool = False, with_contacts: bool = False, **more) -> Fields:
     p = X.particles(spark, sf_dir)
     directed = C.mapped(C.deduplicated(X.contacts(spark, sf_dir)), p, PERIODIC) if with_contacts else None
@@ -426,7 +432,7 @@ def sweep_widths(spark: SparkSession, d: str) -> DataFrame:
 @_query(O.query([O.particles(3), O.grid(), O.keys(False), O.pairs(), O.sums("b", "pairs", {"rho": "w*mass", "phi": "w*volume"})], f"SELECT {KEY_SQL}, " + O.rnd("rho", "density_mixture") + ", " + O.rnd("phi", "volume_fraction") + " FROM b"))
 def write_read_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Three steps written, one of them written again, and read back."""
-    out = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/cube-{uuid.uuid4().hex}"
+    out = _folder(spark, "cube")
     rows = Fields(X.particles(spark, d, 3), X.LATTICE, Kernel("Lucy", X.CUTOFF)).table(["density_mixture", "volume_fraction"])
     cube = sinks.Cube(out)
     cube.write_grid(X.LATTICE.frame(spark))
@@ -435,6 +441,17 @@ def write_read_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return cube.read(spark).select(*KEY, R("density_mixture", "density_mixture"), R("volume_fraction", "volume_fraction"))
 
 
+@_query(O.query([O.particles(4), O.grid(), O.keys(False), O.pairs(), O.sums("b", "pairs", {"rho": "w*mass", "phi": "w*volume"})], f"SELECT {KEY_SQL}, " + O.rnd("rho", "density_mixture") + ", " + O.rnd("phi", "volume_fraction") + " FROM b WHERE t IN (1, 3)"))
+def run_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """A configuration file over four snapshot files, of which it names two: read, computed, written and read back."""
+    folder = _folder(spark, "run")
+    for t, rows in X.particles(spark, d, 4).toPandas().groupby("t"):
+        arrays = {"Number": rows["id"].to_numpy(), "Speed": rows[["vx", "vy", "vz"]].to_numpy(), **{n.title(): rows[n].to_numpy() for n in ("diameter", "density", "volume", "mass")}}
+        vtk.write_vtp(f"{folder}/snap_{t:04d}.vtp", rows[["x", "y", "z"]].to_numpy(), arrays, compressed=t == 3)
+    files.write(f"{folder}/run.ini", X.INI.replace("{folder}", folder).encode())
+    return runs.run(spark, f"{folder}/run.ini", resolution=X.CUTOFF / 1.5).cube.read(spark).select(*KEY, R("density_mixture", "density_mixture"), R("volume_fraction", "volume_fraction"))
+
+
 @_query()
 def cg_all_fields(spark: SparkSession, d: str) -> DataFrame:
     """Every field in one table."""

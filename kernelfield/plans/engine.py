@@ -27,7 +27,7 @@ class Config:
     sensitivity: int = 1000
     width_multiple: float = 0.75
     cutoff_ratio: float | None = None
-    resolution: str = "d43"  # or d50, d32, drms, dmax
+    resolution: str | float = "d43"  # or d50, d32, drms, dmax, or a diameter
     axes: str = "xyz"
     automatic_grid: bool = True
     ranges: dict = field(default_factory=dict)
@@ -125,7 +125,8 @@ class CoarseGrainer:
     @property
     def c(self) -> float:
         k = self.config
-        return cutoff(half_width(self.statistics[k.resolution], k.width_multiple), k.kernel, k.cutoff_ratio)
+        diameter = self.statistics[k.resolution] if isinstance(k.resolution, str) else k.resolution
+        return cutoff(half_width(diameter, k.width_multiple), k.kernel, k.cutoff_ratio)
 
     @property
     def grid(self) -> G.Lattice:
@@ -156,7 +157,7 @@ class CoarseGrainer:
         return sweep(t0, centre, self.statistics["d43"], multiples, self.config.kernel, self.directed.join(t0.select("t").distinct(), "t", "left_semi") if self.directed is not None else None, self.config.sensitivity, self.config.kernel_mode)
 
     def write(self, path: str, images: str | None = None) -> sinks.Cube:
-        """The grid, the phases, the fields of every step and, if configured, the bands below path; with images also an image file for each step and phase in that folder of the driver."""
+        """The grid, the phases, the fields of every step and, if configured, the bands below path; with images also an image file for each step in that folder."""
         fields = self.fields()
         cube = sinks.Cube(path)
         cube.write_grid(self.grid.frame(self.spark))
@@ -167,13 +168,11 @@ class CoarseGrainer:
         if self.config.slices and self.grid.counts[1] > 1:
             self.slices().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("t").parquet(f"{path}/slices")
         if images is not None:
-            import os
-
-            os.makedirs(images, exist_ok=True)
-            done = cube.read(self.spark)
-            names = [n for n, kind in done.dtypes if kind == "double" and n not in G.AXES]
-            mode = "Polydisperse" if fields.phases else "Monodisperse"
-            for t, phase in sorted(tuple(r) for r in done.select("t", "phase").distinct().collect()):  # a file each, as viewers want them
-                arrays = sinks.step_arrays(done, self.grid, t, names, phase)
-                sinks.write_vti(f"{images}/CG_{self.config.kernel}_{mode}{'' if phase == 0 else f'_phase{phase}'}_{t:04d}.vti", self.grid, arrays)
+            self.write_images(cube.read(self.spark), images)
         return cube
+
+    def write_images(self, done: DataFrame, folder: str) -> list[str]:
+        """An image file for each step of fields that are done, below a folder that the executors share."""
+        names = [n for n, kind in done.dtypes if kind == "double" and n not in G.AXES]
+        phases = self.fields().phases
+        return sinks.write_images(done, self.grid, names, phases, f"{folder}/CG_{self.config.kernel}_{'Polydisperse' if phases else 'Monodisperse'}_{{t}}.vti")

@@ -68,3 +68,52 @@ def particles_sql(steps: int = 1) -> str:
 
 def contacts_sql() -> str:
     return CONTACTS.replace("{lineitem}", "lineitem").replace("{part}", "part")
+
+
+#: Two of four snapshot files, on the lattice of the other fixtures.
+INI = """[paths]
+particles_path = {folder}/snap_
+contacts_path = {folder}/none_
+output_path = {folder}/results/
+[timesteps]
+t0 = 1
+tf = 3
+dt = 2
+[smoothing_function]
+type = Lucy
+[flags]
+partialignore = True
+[key_mapping]
+Global_ID = Number
+Particle_Velocity = Speed
+Particle_Diameter = Diameter
+Particle_Density = Density
+Particle_Volume = Volume
+Particle_Mass = Mass
+Particle_Radius = None
+Coordination_Number = None
+[grid_info]
+grid_dimension = 3
+grid_axes = xyz
+automatic_grid = False
+x_min = 0
+x_max = 1
+y_min = 0
+y_max = 1
+z_min = 0
+z_max = 1
+x_transect = None
+y_transect = None
+z_transect = None
+x_axis_periodic = False
+y_axis_periodic = False
+z_axis_periodic = False
+[fields_to_export]
+volume_fraction = True
+density_mixture = True
+velocity = False
+granular_temperature_slices = False
+[output_options]
+h5_output = True
+vkthdf_output = False
+"""

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from kernelfield.operators.grid import AXES
 from kernelfield.plans.engine import Config
+from kernelfield.sources import files
 
 
 def _number(text: str) -> float | None:
@@ -38,8 +39,7 @@ def load(path: str, **changes) -> Run:
     """Reads a configuration; changes override fields of the engine's part."""
     ini = configparser.ConfigParser()
     ini.optionxform = str  # keys keep their case
-    if not ini.read(path):
-        raise FileNotFoundError(path)
+    ini.read_string(files.content(path).decode(), path)
     grid = ini["grid_info"]
     wanted = {k: _flag(v) for k, v in ini.items("fields_to_export")}
     slices = wanted.pop("granular_temperature_slices", True)

@@ -1,13 +1,12 @@
 """VTK files as a PySpark data source: XML PolyData (.vtp), legacy files (.vtk), and multi-block indexes (.vtm).
 
-spark.read.format("kf_vtk").option("path", pattern) gives a row for each point (option association=cell: for each cell), with t (the last
+spark.read.format("kf_vtk").option("path", pattern), or option paths with one a line, gives a row for each point (option association=cell: for each cell), with t (the last
 number in the file name), row_idx, points and the arrays; vectors are array<double>. A partition per file.
 """
 
 from __future__ import annotations
 
 import base64
-import glob
 import os
 import re
 import struct
@@ -19,14 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from kernelfield.sources import files
+
 _TYPES = {"Int8": "i1", "UInt8": "u1", "Int16": "i2", "UInt16": "u2", "Int32": "i4", "UInt32": "u4", "Int64": "i8", "UInt64": "u8", "Float32": "f4", "Float64": "f8"}
 _LEGACY = {"char": "i1", "unsigned_char": "u1", "short": "i2", "unsigned_short": "u2", "int": "i4", "unsigned_int": "u4", "long": "i8", "unsigned_long": "u8", "float": "f4", "double": "f8", "vtktypeint64": "i8", "vtkidtype": "i8"}
 
 
 def file_type(path: str) -> str:
     """'xml' or 'legacy', by the first 100 bytes."""
-    with open(path, "rb") as f:
-        head = f.read(100).lstrip()
+    head = files.content(path, 100).lstrip()
     if head.startswith(b"<?xml") or head.startswith(b"<VTKFile"):
         return "xml"
     if head.lower().startswith(b"# vtk"):
@@ -61,8 +61,7 @@ def _base64_array(text: str, dtype: str, header: str, compressed: bool) -> np.nd
 
 
 def read_xml(path: str, association: str = "point") -> dict[str, np.ndarray]:
-    with open(path, "rb") as f:
-        content = f.read()
+    content = files.content(path)
     appended, mark = b"", content.find(b"<AppendedData")
     encoding = "base64"
     if mark >= 0:
@@ -102,8 +101,7 @@ def read_xml(path: str, association: str = "point") -> dict[str, np.ndarray]:
 
 
 def read_legacy(path: str, association: str = "point") -> dict[str, np.ndarray]:
-    with open(path, "rb") as f:
-        content = f.read()
+    content = files.content(path)
     lines = content.split(b"\n", 3)
     binary, at = lines[2].strip().upper() == b"BINARY", sum(len(x) + 1 for x in lines[:3])
     out: dict[str, np.ndarray] = {}
@@ -176,7 +174,7 @@ def read(path: str, association: str = "point") -> dict[str, np.ndarray]:
 def blocks_of(path: str) -> list[str]:
     """The files of a multi-block index, in order, nested ones too."""
     out: list[str] = []
-    for node in ET.parse(path).getroot().iter("DataSet"):
+    for node in ET.fromstring(files.content(path)).iter("DataSet"):
         name = node.get("file")
         if name:
             own = os.path.join(os.path.dirname(path), name)
@@ -222,14 +220,10 @@ class VtkSource(DataSource):
         return "kf_vtk"
 
     def _files(self) -> list[tuple[str, int | None]]:
-        found = []
-        for p in sorted(glob.glob(self.options["path"])) if glob.has_magic(self.options["path"]) else [self.options["path"]]:
-            if not os.path.exists(p):
-                raise FileNotFoundError(p)
-            found += [(b, step_of(p)) for b in blocks_of(p)] if p.endswith(".vtm") else [(p, step_of(p))]
-        if not found:
+        named = self.options["paths"].split("\n") if "paths" in self.options else files.matching(self.options["path"])
+        if not named:
             raise FileNotFoundError(self.options["path"])
-        return found
+        return [(b, step_of(p)) for p in named for b in (blocks_of(p) if p.endswith(".vtm") else [p])]
 
     def schema(self) -> str:
         arrays = read(self._files()[0][0], self.options.get("association", "point"))
@@ -261,5 +255,4 @@ def write_vtp(path: str, points: np.ndarray, arrays: dict[str, np.ndarray], asso
     data = "".join(node(k, v) for k, v in arrays.items())
     where = "PointData" if association == "point" else "CellData"
     packer = ' compressor="vtkZLibDataCompressor"' if compressed else ""
-    with open(path, "w", encoding="ascii") as f:
-        f.write(f'<?xml version="1.0"?>\n<VTKFile type="PolyData" version="1.0" byte_order="LittleEndian" header_type="UInt32"{packer}><PolyData><Piece NumberOfPoints="{len(points)}"><Points>{node("Points", points)}</Points><{where}>{data}</{where}></Piece></PolyData></VTKFile>\n')
+    files.write(path, (f'<?xml version="1.0"?>\n<VTKFile type="PolyData" version="1.0" byte_order="LittleEndian" header_type="UInt32"{packer}><PolyData><Piece NumberOfPoints="{len(points)}"><Points>{node("Points", points)}</Points><{where}>{data}</{where}></Piece></PolyData></VTKFile>\n').encode("ascii"))

@@ -215,7 +215,9 @@ def test_engine_writes_all_outputs(spark, tmp_path):
     assert cube.slice(spark, "x", 0).count() == engine.grid.counts[1] * 4 * 2
     assert {r["label"] for r in spark.read.parquet(str(tmp_path / "out" / "phases")).select("label").collect()} >= {"Bulk"}
     assert spark.read.parquet(str(tmp_path / "out" / "slices")).count() > 0
-    assert len(list((tmp_path / "img").iterdir())) == 8
+    images = sorted((tmp_path / "img").iterdir())
+    assert [x.name for x in images] == ["CG_Lucy_Polydisperse_0000.vti", "CG_Lucy_Polydisperse_0001.vti"]
+    assert all(f'Name="{n}"' in images[0].read_text() for n in ("density_mixture_bulk", "density_mixture_phase3", "velocity_bulk", "velocity_phase1"))
 
 
 def test_bands(spark):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from kernelfield.functions.kernels import Kernel
 from kernelfield.operators.fields import Fields
 from kernelfield.operators.grid import Lattice
-from kernelfield.plans import fixtures
+from kernelfield.plans import fixtures, runs
+from kernelfield.plans.engine import CoarseGrainer, Config
 from kernelfield.sources import config, sinks, snapshots, vtk
 from kernelfield.streaming.snapshots import stream_fields
 
@@ -122,7 +123,8 @@ def test_configuration(tmp_path):
 def test_images(spark, tmp_path):
     grid = Lattice((0.0, 0.0, 0.0), (0.1, 0.1, 0.0), (4, 3, 1))
     f = Fields(fixtures.particles(spark, "/root/testdata/sf0.001"), grid, Kernel("Lucy", 0.3))
-    arrays = sinks.step_arrays(f.table(["density_mixture", "velocity"]), grid, 0, ["density_mixture", "velocity_x", "velocity_y", "velocity_z"])
+    rows = f.table(["density_mixture", "velocity"])
+    arrays = sinks.image_arrays(rows.toPandas(), grid, ["density_mixture", "velocity_x", "velocity_y", "velocity_z"])
     assert arrays["velocity"].shape == (4, 3, 1, 3)
     thick, more = sinks.thickened(grid, arrays)
     assert thick.counts == (4, 3, 2) and more["density_mixture"].shape == (4, 3, 2)
@@ -159,3 +161,28 @@ def test_stream_equals_batch(spark, tmp_path):
     stream_fields(spark, str(tmp_path / "in"), schema, make, cube, str(tmp_path / "cp")).awaitTermination(120)
     total = lambda df: sorted((r[0], r[1], round(r[2], 6)) for r in df.groupBy("t").agg(F.count("*"), F.sum("density_mixture")).collect())
     assert total(cube.read(spark)) == total(make(p))
+
+
+def test_run_from_files(spark, tmp_path):
+    """An INI over vtp files of particles and contacts, against the engine on the tables."""
+    sf = "/root/testdata/sf0.001"
+    p, c = fixtures.particles(spark, sf), fixtures.contacts(spark, sf, points=True)
+    rows, touch = p.toPandas(), c.where("i <> j").limit(400).toPandas().sort_values("row_idx")
+    ini = fixtures.INI.replace("{folder}", str(tmp_path)).replace("t0 = 1\ntf = 3\ndt = 2", "t0 = 0\ntf = 0\ndt = 1").replace("velocity = False", "velocity = True\ncontact_tensor = True\ncoordination_number = True")
+    ini = ini.replace("vkthdf_output = False", "vkthdf_output = True").replace("granular_temperature_slices = False", "granular_temperature_slices = True").replace("Coordination_Number = None", "Coordination_Number = None\nParticle_i_ID = First\nParticle_j_ID = Second\nForce_ij = Push\nContact_ij = None")
+    (tmp_path / "run.ini").write_text(ini)
+    with pytest.raises(FileNotFoundError, match="step 0 of particles"):
+        runs.run(spark, str(tmp_path / "run.ini"))
+    vtk.write_vtp(str(tmp_path / "snap_0000.vtp"), rows[["x", "y", "z"]].to_numpy(), {"Number": rows["id"].to_numpy(), "Speed": rows[["vx", "vy", "vz"]].to_numpy(), **{n.title(): rows[n].to_numpy() for n in ("diameter", "density", "volume", "mass")}})
+    push, points = touch[["fx", "fy", "fz"]].to_numpy(), touch[["cx", "cy", "cz"]].to_numpy()
+    vtk.write_vtp(str(tmp_path / "none_0000.vtp"), points, {"First": touch["i"].to_numpy(), "Second": touch["j"].to_numpy(), "Push": push})
+    done = runs.run(spark, str(tmp_path / "run.ini"), width_multiple=8.0)
+    table = spark.createDataFrame(touch.assign(row_idx=range(len(touch)))[["t", "row_idx", "i", "j", "fx", "fy", "fz"]])
+    ranges = {a: (0.0, 1.0) for a in "xyz"}
+    want = CoarseGrainer(spark, p.drop("phase"), table, Config(fields=done.engine.config.fields, automatic_grid=False, ranges=ranges, width_multiple=8.0, slices=True)).run()
+    names = [n for n, k in want.dtypes if k == "double"]
+    assert {"velocity_x", "coordination_number"} < set(names) and any(n.startswith("contact_tensor") for n in names)
+    left, right = (f.orderBy("node").toPandas() for f in (done.cube.read(spark), want))
+    assert len(left) == done.engine.grid.size and np.allclose(left[names].to_numpy(float), right[names].to_numpy(float), equal_nan=True)
+    assert [x.rsplit("/", 1)[-1] for x in done.images] == ["CG_Lucy_Monodisperse_0000.vti"] and 'Name="velocity"' in open(done.images[0]).read()
+    assert spark.read.parquet(str(tmp_path / "results" / "cube" / "slices")).count() > 0
