@@ -30,12 +30,19 @@ from kernelfield.llm.common import table, written
 
 _FOUND = "query bigint, query_id bigint, vec_id bigint, score bigint"
 _RINGS = 16
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width))
-    for row, v in zip(out, column.to_pylist(), strict=True):
-        row[: len(v)] = v
+_NONE = np.iinfo(np.int64).max
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    edge, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    size = np.diff(edge)
+    flat = flat[edge[0] : edge[-1]]
+    if (size == width).all():
+        return flat.astype(float).reshape(len(size), width)
+    out = np.zeros((len(size), width))
+    out[np.arange(width) < size[:, None]] = flat
     return out
 
 
@@ -168,25 +175,28 @@ class VoronoiJoin:
         width, k = self.width, self.k
 
         def solve(ask: pa.Table, have: pa.Table) -> pa.Table:
-            found = []
-            if ask.num_rows and have.num_rows:
-                ids = have["vec_id"].fill_null(np.iinfo(np.int64).max).to_numpy()  # after all others
-                by_id = np.lexsort((have["row"].to_numpy(), ids))
-                ids, rows, x = ids[by_id], have["row"].to_numpy()[by_id], _matrix(have["v"].combine_chunks(), width)[by_id]
-                keys = have["vec_id"].take(pa.array(by_id)).to_pylist()
-                asked = ask["query"].to_numpy()
-                for s in range(0, len(asked), 256):
-                    score = _products(_matrix(ask["q"].slice(s, 256).combine_chunks(), width), x)
-                    for q, name, line in zip(asked[s : s + 256].tolist(), ask["query_id"].slice(s, 256).to_pylist(), score, strict=True):
-                        other = np.flatnonzero(rows != q)
-                        line = line[other]
-                        if len(line) > k:
-                            at = np.flatnonzero(line >= np.partition(line, -k)[-k])
-                        else:
-                            at = np.arange(len(line))
-                        at = at[np.argsort(-line[at], kind="stable")][:k]
-                        found += [(q, name, keys[other[i]], int(line[i])) for i in at]
-            return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], ["query", "query_id", "vec_id", "score"])
+            found = [np.zeros((0, 4), np.int64)]
+            ids = have["vec_id"].fill_null(_NONE).to_numpy()  # after all others
+            by_id = np.lexsort((have["row"].to_numpy(), ids))
+            ids, rows, x = ids[by_id], have["row"].to_numpy()[by_id], _matrix(have["v"], width)[by_id]
+            by_row = np.argsort(rows)
+            for s in range(0, ask.num_rows if have.num_rows else 0, 256):
+                part = ask.slice(s, 256)
+                asked, names = part["query"].to_numpy(), part["query_id"].to_numpy()
+                score = _products(_matrix(part["q"], width), x)
+                at = by_row[np.minimum(np.searchsorted(rows, asked, sorter=by_row), len(rows) - 1)]
+                own = np.flatnonzero(rows[at] == asked)
+                score[own, at[own]] = np.iinfo(np.int64).min  # lower than any product
+                edge = np.partition(score, -k, 1)[:, -k] if score.shape[1] > k else score.min(1)
+                q, c = np.nonzero((score >= edge[:, None]) & (score > np.iinfo(np.int64).min))
+                order = np.lexsort((c, -score[q, c], q))
+                q, c = q[order], c[order]
+                first = np.searchsorted(q, q)
+                best = np.arange(len(q)) - first < k
+                q, c = q[best], c[best]
+                found.append(np.stack([asked[q], names[q], ids[c], score[q, c]], 1))
+            out = np.concatenate(found)
+            return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2], mask=out[:, 2] == _NONE), pa.array(out[:, 3])], ["query", "query_id", "vec_id", "score"])
 
         return routes.groupBy("block").cogroup(data.groupBy("block")).applyInArrow(solve, _FOUND)
 
