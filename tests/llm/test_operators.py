@@ -185,6 +185,24 @@ def test_secrets_of_other_shapes():
     assert [s for _, s in SS.find(clean, [None] * 3, forest)] == [[], [], []]
 
 
+def test_scan_by_hand(spark, docs, odd):
+    """Spans and digests of all rows, one text at a time, with repeated rows and clashing names."""
+    forest = SS.train()
+    both = docs.select("doc_id", "text", "source").unionByName(odd.select("doc_id", "text", "source")).selectExpr("*", "1 as n_secrets", "2 as spans")
+    both = both.unionByName(both.where("doc_id < 20")).unionByName(spark.createDataFrame([(77, None, None, 1, 2), (78, 'password = "Tr0ub4dor&3" ' + "plain words " * 30_000, "s", 1, 2)], both.schema))
+    want = Counter()
+    for r in both.collect():
+        n, spans = SS.find([r["text"]], [r["source"]], forest)[0]
+        text, upto = "", 0
+        for a, b in spans:
+            assert upto <= a < b
+            text, upto = text + r["text"][upto:a] + SS.MARK, b
+        text += (r["text"] or "")[upto:]
+        want[r["doc_id"], n, len(spans), tuple(spans), hashlib.sha256(text.encode()).hexdigest()] += 1
+    got = Counter((r["doc_id"], r["n_candidates"], r["n_secrets"], tuple((x["start"], x["end"]) for x in r["spans"]), r["redacted_sha256"]) for r in SS.scan(both, forest).collect())
+    assert got == want and any(k[0] == 78 and k[2] for k in want)
+
+
 def test_forest_learns_from_a_table(spark):
     table = spark.createDataFrame(SS.labelled_findings(400), "value string, before string, after string, path string, label int")
     assert len(SS.train(table).trees) == 30
@@ -514,6 +532,19 @@ def test_language_kernel_by_hand():
     assert float(LID.kernel([x], [y])[0, 0]) == pytest.approx(len(grams(x) & grams(y)) / math.sqrt(len(grams(x)) * len(grams(y))), rel=1e-5)
 
 
+def test_language_by_hand(spark, docs, odd):
+    """The query's rows, one text at a time, with repeated rows and clashing names."""
+    model = LID.fit(docs)
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    both = both.unionByName(both.where("doc_id < 20")).selectExpr("*", "3 as score")
+    want = Counter()
+    for r in both.collect():
+        some = bool(r["text"]) and any(c.isalpha() for c in r["text"])
+        lang, score = model.predict([r["text"]])[0] if some else ("und", 0.0)
+        want[r["doc_id"], lang, round(score, 6)] += 1
+    assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in LID.identify(both, model).collect()) == want
+
+
 def test_language_model_against_a_dense_solution():
     """Scores of the folded model, against kernels, whitening and ridge regression on n-grams as strings."""
     r = random.Random(7)
