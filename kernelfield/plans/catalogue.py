@@ -227,6 +227,38 @@ _bulk({"volume_fraction": "phi", "density_mixture": "rho"})("cg_scalar_poly", {"
 _bulk({f"velocity_{a}": f"v_{a}" for a in AXES} | {f"momentum_{a}": f"p_{a}" for a in AXES})("cg_vector_poly", {f"velocity_{a}": f"v{a}" for a in AXES} | {f"momentum_{a}": f"p{a}" for a in AXES}, True)
 
 
+def _kernel_sums(name: str):
+    k = Kernel(name, X.CUTOFF)
+
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return Fields(X.particles(spark, d), X.LATTICE, k).velocity.select(*KEY, R("rho", "density_mixture", 8), *[R(f"v_{a}", f"velocity_{a}", 8) for a in AXES])
+
+    f.__name__ = f"cg_sums_{name.lower()}"
+    return _query(O.query([*O.base(k=k), O.VELOCITY], f"SELECT {KEY_SQL}, " + ", ".join([O.rnd("rho", "density_mixture", 8)] + [O.rnd(f"v{a}", f"velocity_{a}", 8) for a in AXES]) + " FROM v"))(f)
+
+
+_kernel_sums("Gaussian")
+_kernel_sums("HeavySide")
+
+
+def _flat(axes: str):
+    """Fields on a plane or a line: derivatives along the axes that are collapsed are 0."""
+    lattice = G.lattice(axes, {a: (0.0, 1.0) for a in axes}, 0.2, {a: 0.5 for a in AXES if a not in axes})
+    n, h = lattice.counts[AXES.index(axes[0])], lattice.spacing[AXES.index(axes[0])]
+
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        fields = Fields(X.particles(spark, d), lattice, Kernel("Lucy", X.CUTOFF))
+        return fields.velocity.join(fields.gradient.select("t", "node", *[f"g_{p}" for p in PAIRS]), ["t", "node"]).select(*KEY, R("rho", "density_mixture"), R("phi", "volume_fraction"), *[R(f"v_{a}", f"velocity_{a}", 8) for a in AXES], *[R(f"g_{p}", f"gradient_{p}", 7) for p in PAIRS])
+
+    f.__name__ = f"cg_fields_{len(axes)}d_{axes}"
+    cols = [O.rnd("rho", "density_mixture"), O.rnd("phi", "volume_fraction")] + [O.rnd(f"v{a}", f"velocity_{a}", 8) for a in AXES] + [O.rnd(f"g{p}", f"gradient_{p}", 7) for p in PAIRS]
+    return _query(O.query([*O.base(lattice=lattice), O.VELOCITY, O.gradient(h, n, axes)], f"SELECT {KEY_SQL}, {', '.join(cols)} FROM v JOIN (SELECT t, node, {', '.join('g' + p for p in PAIRS)} FROM gr) USING (t, node)"))(f)
+
+
+_flat("xy")
+_flat("y")
+
+
 @_query(O.query([O.particles(), *O.contacts(), _CN, O.grid(), O.keys(False), O.pairs(source="(SELECT p.*, coordination FROM p JOIN cn USING (t, id))"), O.sums("b", "pairs", {"a": "w*coordination", "s": "w"})], f"SELECT {KEY_SQL}, " + O.rnd("CASE WHEN s = 0 THEN 0 ELSE a / s END", "coordination_number") + " FROM b"))
 def cg_coordination(spark: SparkSession, d: str) -> DataFrame:
     p = X.particles(spark, d)
@@ -326,17 +358,31 @@ def cg_kinetic_tensor(spark: SparkSession, d: str) -> DataFrame:
 # stress and what follows from it
 
 
-@_query(O.query(O.stress(), f"SELECT {KEY_SQL}, " + ", ".join([O.rnd(f"s{p}", f"stress_{p}", 5) for p in PAIRS] + [O.rnd("smag", "stress_mag", 5), O.rnd("sdev", "stress_dev_mag", 5), O.rnd("sdevxy", "stress_xy_dev_mag", 5)]) + " FROM st"))
-def cg_total_stress(spark: SparkSession, d: str) -> DataFrame:
-    return _fields(spark, d, with_contacts=True).stress.select(*KEY, *[R(f"s_{p}", f"stress_{p}", 5) for p in PAIRS], R("s_mag", "stress_mag", 5), R("sdev_mag", "stress_dev_mag", 5), R("sdevxy_mag", "stress_xy_dev_mag", 5))
+def _stress(name: str, phased: bool):
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return _fields(spark, d, phased, True).stress.select(*KEY, *[R(f"s_{p}", f"stress_{p}", 5) for p in PAIRS], R("s_mag", "stress_mag", 5), R("sdev_mag", "stress_dev_mag", 5), R("sdevxy_mag", "stress_xy_dev_mag", 5))
+
+    f.__name__ = name
+    cols = [O.rnd(f"s{p}", f"stress_{p}", 5) for p in PAIRS] + [O.rnd("smag", "stress_mag", 5), O.rnd("sdev", "stress_dev_mag", 5), O.rnd("sdevxy", "stress_xy_dev_mag", 5)]
+    return _query(O.query(O.stress(phased), f"SELECT {KEY_SQL}, {', '.join(cols)} FROM st"))(f)
+
 
+_stress("cg_total_stress", False)
+_stress("cg_total_stress_poly", True)
 
 _P = {"xyz": "pxyz", "xy": "pxy", "x": "p_x", "y": "p_y", "z": "p_z"}
 
 
-@_query(O.query(O.stress(), f"SELECT {KEY_SQL}, " + ", ".join(O.rnd(v, f"pressure_{k}", 5) for k, v in _P.items()) + " FROM st"))
-def cg_pressure(spark: SparkSession, d: str) -> DataFrame:
-    return _fields(spark, d, with_contacts=True).stress.select(*KEY, *[R(f"pressure_{k}", f"pressure_{k}", 5) for k in _P])
+def _pressure(name: str, phased: bool):
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return _fields(spark, d, phased, True).stress.select(*KEY, *[R(f"pressure_{k}", f"pressure_{k}", 5) for k in _P])
+
+    f.__name__ = name
+    return _query(O.query(O.stress(phased), f"SELECT {KEY_SQL}, " + ", ".join(O.rnd(v, f"pressure_{k}", 5) for k, v in _P.items()) + " FROM st"))(f)
+
+
+_pressure("cg_pressure", False)
+_pressure("cg_pressure_poly", True)
 
 
 _TEMPERATURE = {"xyz": ("qxx+qyy+qzz", "3e0*rho")} | {a: (f"q{a}{a}", "rho") for a in AXES}
@@ -374,10 +420,18 @@ _inertial("cg_inertial_number", False)
 _inertial("cg_inertial_number_poly", True)
 
 
-@_query(O.query(O.stress(), f"SELECT {KEY_SQL}, " + ", ".join(O.rnd(f"{v} / nullif({p}, 0)", f"mu_{k}_P{q}", 4) for k, v in (("Dxy", "sdevxy"), ("Dxyz", "sdev"), ("01", "sxy")) for q, p in (("xyz", "pxyz"), ("xy", "pxy"), ("y", "p_y"))) + " FROM st"))
-def cg_friction(spark: SparkSession, d: str) -> DataFrame:
-    rows = _fields(spark, d, with_contacts=True).friction
-    return rows.select(*KEY, *[R(c, c.replace("frictional_coefficient_", "mu_"), 4) for c in rows.columns if c not in KEY])
+def _friction(name: str, phased: bool):
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        rows = _fields(spark, d, phased, True).friction
+        return rows.select(*KEY, *[R(c, c.replace("frictional_coefficient_", "mu_"), 4) for c in rows.columns if c not in KEY])
+
+    f.__name__ = name
+    cols = ", ".join(O.rnd(f"{v} / nullif({p}, 0)", f"mu_{k}_P{q}", 4) for k, v in (("Dxy", "sdevxy"), ("Dxyz", "sdev"), ("01", "sxy")) for q, p in (("xyz", "pxyz"), ("xy", "pxy"), ("y", "p_y")))
+    return _query(O.query(O.stress(phased), f"SELECT {KEY_SQL}, {cols} FROM st"))(f)
+
+
+_friction("cg_friction", False)
+_friction("cg_friction_poly", True)
 
 
 # slices, profiles, sweeps, sinks

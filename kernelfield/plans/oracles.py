@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from kernelfield.functions.kernels import Kernel, line_nodes
+import math
+
+from kernelfield.functions.kernels import Kernel
 from kernelfield.plans import fixtures as X
 
 AXES = "xyz"
@@ -19,18 +21,26 @@ def rnd(sql: str, name: str, digits: int = 9) -> str:
     return f"round({sql}, {digits}) + 0e0 AS {name}"
 
 
+def gaussian_norm(c: float, n: int = 200_000) -> float:
+    """One over the integral of the Gaussian of width c / 3 over a ball of radius c, by Simpson's rule."""
+    w, h = c / 3.0, c / n
+    return 1.0 / sum(h / 3.0 * (1 if i in (0, n) else 4 if i % 2 else 2) * 4.0 * math.pi * (i * h) ** 2 * math.exp(-((i * h) ** 2) / (2.0 * w * w)) for i in range(n + 1))
+
+
 def kernel_at(k: Kernel, r: str) -> str:
+    c = lit(k.c)
     if k.name == "Lucy":
-        u = f"(({r}) / {lit(k.c)})"
-        return f"CASE WHEN ({r}) > {lit(k.c)} THEN 0e0 ELSE {lit(k.norm)} * (-3e0*{u}*{u}*{u}*{u} + 8e0*{u}*{u}*{u} - 6e0*{u}*{u} + 1e0) END"
+        u = f"(({r}) / {c})"
+        return f"CASE WHEN ({r}) > {c} THEN 0e0 ELSE 105e0/(16e0*pi()*power({c},3)) * (-3e0*{u}*{u}*{u}*{u} + 8e0*{u}*{u}*{u} - 6e0*{u}*{u} + 1e0) END"
     if k.name == "HeavySide":
-        return f"CASE WHEN ({r}) < {lit(k.c)} THEN {lit(k.norm)} ELSE 0e0 END"
-    w = k.c / 3.0
-    return f"CASE WHEN ({r}) > {lit(k.c)} THEN 0e0 ELSE {lit(k.norm)} * exp(-(({r})*({r})) / {lit(2.0 * w * w)}) END"
+        return f"CASE WHEN ({r}) < {c} THEN 1e0/(4e0/3e0*pi()*power({c},3)) ELSE 0e0 END"
+    return f"CASE WHEN ({r}) > {c} THEN 0e0 ELSE {lit(gaussian_norm(k.c))} * exp(-(({r})*({r})) / (2e0*({c}/3e0)*({c}/3e0))) END"
 
 
 def quantised(k: Kernel, r: str) -> str:
-    return f"({lit(k.step)} + least(floor(({r}) * {lit(1.0 / k.step)}), {lit(k.entries - 1)}) * {lit(k.step)})"
+    """A thousand entries to the first figure of the cutoff, the first of them one step from 0."""
+    step = f"(power(10, floor(log10({lit(k.c)})))/1000e0)"
+    return f"({step} + least(floor(({r}) * (1e0/{step})), round({lit(k.c)}/{step}) - 1e0) * {step})"
 
 
 def kernel(k: Kernel, r: str) -> str:
@@ -72,19 +82,22 @@ def sums(name: str, source: str, items: dict[str, str], phased: bool = False) ->
     return f"{name} AS MATERIALIZED (SELECT k.t, k.node, k.phase, k.ix, k.iy, k.iz, coalesce(n_pairs, 0) AS n_pairs, {filled} FROM keys k LEFT JOIN ({raw}) q ON q.t = k.t AND q.node = k.node AND q.phase = k.phase)"
 
 
-def base(phased: bool = False, extra: dict[str, str] | None = None) -> list[str]:
+def base(phased: bool = False, extra: dict[str, str] | None = None, lattice=X.LATTICE, k: Kernel = LUCY) -> list[str]:
     items = {"rho": "w*mass", "phi": "w*volume", "px": "w*vx*mass", "py": "w*vy*mass", "pz": "w*vz*mass", "s2": "w*diameter*diameter", "s3": "w*diameter*diameter*diameter", "s4": "w*diameter*diameter*diameter*diameter", **(extra or {})}
-    return [particles(), grid(), keys(phased), pairs(), sums("b", "pairs", items, phased)]
+    return [particles(), grid(lattice), keys(phased), pairs(k), sums("b", "pairs", items, phased)]
 
 
 VELOCITY = "v AS MATERIALIZED (SELECT *, px/nullif(rho,0) AS vx, py/nullif(rho,0) AS vy, pz/nullif(rho,0) AS vz, rho/nullif(phi,0) AS dp, CASE WHEN s3=0 THEN 0 ELSE s4/s3 END AS d43, CASE WHEN s2=0 THEN 0 ELSE s3/s2 END AS d32 FROM b)"
 
 
-def gradient(h: float = 0.1, n: int = 11) -> str:
+def gradient(h: float = 0.1, n: int = 11, axes: str = AXES) -> str:
     cols = []
     for a in AXES:
         for b in AXES:
             v = f"v{a}"
+            if b not in axes:
+                cols.append(f"0e0 AS g{a}{b}")
+                continue
             cols.append(f"CASE WHEN i{b} = 0 THEN (lead({v}) OVER w{b} - {v}) / {lit(h)} WHEN i{b} = {n - 1} THEN ({v} - lag({v}) OVER w{b}) / {lit(h)} ELSE (lead({v}) OVER w{b} - lag({v}) OVER w{b}) / {lit(2 * h)} END AS g{a}{b}")
     windows = ", ".join(f"w{b} AS (PARTITION BY t, {', '.join(f'i{x}' for x in AXES if x != b)} ORDER BY i{b})" for b in AXES)
     return f"gr AS MATERIALIZED (SELECT t, node, vx AS gvx, vy AS gvy, vz AS gvz, {', '.join(cols)} FROM v WHERE phase = 0 WINDOW {windows})"
@@ -116,7 +129,7 @@ def contacts(periodic: bool = True, points: bool = False) -> list[str]:
 
 
 def contact_pairs(k: Kernel = LUCY) -> list[str]:
-    s = line_nodes()
+    s = [i * (1.0 / 9.0) for i in range(9)] + [1.0]
     samples = [kernel(k, f"sqrt((rx+{lit(x)}*brx)*(rx+{lit(x)}*brx)+(ry+{lit(x)}*bry)*(ry+{lit(x)}*bry)+(rz+{lit(x)}*brz)*(rz+{lit(x)}*brz))") for x in s]
     inner = " + ".join(f"({x})" for x in samples[1:-1])
     wint = f"((({samples[0]}) + ({samples[-1]})) * 0.5e0 + {inner}) * {lit(1.0 / (len(s) - 1))}"
