@@ -2,7 +2,7 @@
 
 Tokenising emits no ids, only pieces (start, length, checksum), so what is shuffled is small. A document longer than
 the capacity is cut into full pieces, which take a sequence each, and a rest. The rests of a group of about
-group_docs documents, drawn by a hash of the key, are packed by first-fit decreasing; the leftmost bin with room is
+group_docs documents, drawn by a hash of key, text and place in the table, are packed by first-fit decreasing; the leftmost bin with room is
 found by walking down a tournament tree of free capacities.
 
 Defined cases: null and empty texts are the end id alone; ties in length go by key, then start; repeated rows are
@@ -180,28 +180,29 @@ def first_fit_decreasing(lengths: list[int], capacity: int = CAPACITY) -> list[t
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Pieces of at most capacity ids: key, start, length, ids_crc32, doc_tokens."""
+    """Pieces of at most capacity ids: key, start, length, ids_crc32, doc_tokens, and draw, a random number of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
 
         for batch in (b.slice(s, 2048) for b in batches for s in range(0, b.num_rows, 2048)):
             rows = []
-            for k, ids in zip(batch.column(0).to_pylist(), own.ids(*text_bytes(batch.column(1))), strict=True):
+            for k, draw, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), own.ids(*text_bytes(batch.column(1))), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for s in range(0, len(ids), capacity):
                     part = ids[s : s + capacity]
-                    rows.append((k, s, len(part), zlib.crc32(part), len(ids)))
+                    rows.append((k, s, len(part), zlib.crc32(part), len(ids), draw))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [key, "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [key, "start", "length", "ids_crc32", "doc_tokens", "draw"])
 
-    return docs.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(lean(run), f"`{key}` bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    draw = F.xxhash64(F.lit(2048), key, text, F.monotonically_increasing_id())  # rows of one key, and equal ones, are spread as well
+    return docs.select(F.col(key).cast("bigint").alias(key), text, draw.alias("draw")).mapInArrow(lean(run), f"`{key}` bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, draw bigint")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, group_docs: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:
     """pieces() with sequence_id and offset. Sequences of different groups differ in the upper bits of their id."""
     groups = max(1, -(-docs.count() // group_docs))
-    cut = pieces(docs, tokenizer_path, end_id, capacity, text, key).withColumn("pack_group", F.pmod(F.xxhash64(F.lit(2048), key), F.lit(groups)))
+    cut = pieces(docs, tokenizer_path, end_id, capacity, text, key).withColumn("pack_group", F.pmod("draw", F.lit(groups))).drop("draw")
 
     def fill(found: pa.Table) -> pa.Table:
         rows = found.to_pydict()

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from kernelfield.llm.common import WORD, table
+from kernelfield.llm.common import WORD, lean, table
 
 MIN_WORDS, REPEAT_PERCENT, LOST_PERCENT = 50, 50, 50
 NAV_MIN, NAV_WORDS, SYMBOL_PERCENT, FRAGMENT_WORDS = 3, 3, 10, 3
@@ -31,7 +31,14 @@ _SYMBOL = re.compile(r"[#*$%&|<>]")
 _LOUD = re.compile(r"[#*$%&|<>!{}]")
 _NAV = re.compile(r"[|»›]")
 _CLOSED = re.compile(r"[.!?:;,\"')\]…。]$")
-BOILERPLATE = r"(?i:all rights reserved|privacy policy|cookie policy|uses cookies|terms of (use|service)|click here|sign up|log in to|subscribe to|enable javascript|lorem ipsum|licensed under|back to top|share this)"
+#: Fixed phrases, in the languages of the corpus; a dot stands for a letter with an accent.
+PHRASES = {
+    "en": "all rights reserved|privacy policy|cookie policy|uses cookies|terms of (use|service)|click here|sign up|log in to|subscribe to|enable javascript|lorem ipsum|licensed under|back to top|share this",
+    "de": "alle rechte vorbehalten|datenschutzerkl.rung|verwendet cookies|nutzungsbedingungen|hier klicken|jetzt anmelden|newsletter abonnieren|javascript aktivieren|lizenziert unter|nach oben",
+    "fr": "tous droits r.serv.s|politique de confidentialit.|utilise des cookies|conditions d.utilisation|cliquez ici|inscrivez-vous|abonnez-vous|activez javascript|sous licence|haut de page",
+    "es": "todos los derechos reservados|pol.tica de privacidad|utiliza cookies|t.rminos de uso|haga clic|reg.strese|suscr.base|active javascript|bajo licencia|volver arriba",
+}
+BOILERPLATE = rf"(?i:{'|'.join(PHRASES.values())})"
 _BOILER = re.compile(BOILERPLATE)
 
 SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, n_lines_removed bigint, lost_chars bigint"
@@ -95,7 +102,7 @@ def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", clea
     """One row per row of docs: key and the figures of SCHEMA; with cleaned also clean_text, the lines that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(s, 1024) for b in batches for s in range(0, b.num_rows, 1024)):
             rows, texts = [], []
             for value in batch.column(1).to_pylist():
                 figures, stay = judge(value)
@@ -110,7 +117,7 @@ def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", clea
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [key, *names])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {SCHEMA}" + ", clean_text string" * cleaned)
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, {SCHEMA}" + ", clean_text string" * cleaned)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
