@@ -60,9 +60,11 @@ def mass_median(particles: DataFrame, buckets: int = 1024, few: int = 10_000) ->
     return particles.sparkSession.createDataFrame([(found,)] if found is not None else [], "d50 double")
 
 
-def distinct_phases(particles: DataFrame) -> DataFrame:
-    """phase (from 1), diameter, density, n: one phase for each pair of diameter and density."""
+def distinct_phases(particles: DataFrame, most: int = 1000) -> DataFrame:
+    """phase (from 1), diameter, density, n: one phase for each pair of diameter and density; an error if there are more than most, as with sizes that vary without steps."""
     pairs = particles.groupBy("diameter", "density").agg(F.count("*").alias("n"))
+    if pairs.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} pairs of diameter and density: find phases by clustering")
     return pairs.withColumn("phase", F.row_number().over(Window.orderBy("diameter", "density"))).select("phase", "diameter", "density", "n")
 
 

@@ -230,3 +230,17 @@ def test_bands(spark):
     for y, i in zip(ys, got, strict=True):
         near = min(abs(y - z) for z in heights)
         assert abs(y - heights[i]) == pytest.approx(near) and i == next(j for j, z in enumerate(heights) if abs(y - z) <= near + 1e-9)
+
+
+def test_many_sizes_are_no_phases(spark):
+    rows = spark.range(50).select(F.col("id").cast("double").alias("diameter"), F.lit(1.0).alias("density"))
+    assert S.distinct_phases(rows).count() == 50
+    with pytest.raises(ValueError, match="clustering"):
+        S.distinct_phases(rows, 49)
+
+
+def test_count_of_clusters():
+    assert S.best_count({2: 0.5, 3: 0.9, 4: 0.6, 5: 0.55}) == 3 and S.best_count({2: 0.9, 3: 0.5, 4: 0.4, 5: 0.4}) in (2, 3, 4, 5) and S.best_count({2: 0.3}) == 2
+    scores = {2: 0.4, 3: 0.8, 4: 0.7, 5: 0.75, 6: 0.2}
+    bend = np.gradient(np.gradient(list(scores.values())))
+    assert S.best_count(scores) == max((k for k, b in zip(scores, bend, strict=True) if b < 0), key=scores.get)
