@@ -40,12 +40,19 @@ PHRASES = {
 }
 BOILERPLATE = rf"(?i:{'|'.join(PHRASES.values())})"
 _BOILER = re.compile(BOILERPLATE)
+#: The longest plain part of each phrase: a text with none of these holds no phrase.
+_PLAIN = [max(re.split(r"[.(|)]", x), key=len) for x in re.split(r"\|(?![^(]*\))", "|".join(PHRASES.values()))]
+
+
+def may_hold_phrases(text: str) -> bool:
+    low = text.lower()
+    return any(x in low for x in _PLAIN) or "\u017f" in text  # which counts as an s
 
 SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, n_lines_removed bigint, lost_chars bigint"
 
 
-def line_fails(line: str, words: list[str]) -> bool:
-    """Whether a line with words fails by itself (repetition apart)."""
+def line_fails(line: str, words: list[str], phrases: bool = True) -> bool:
+    """Whether a line with words fails by itself (repetition apart); phrases: it may hold some."""
     n = len(words)
     navs = len(_NAV.findall(line))
     if navs >= NAV_MIN and navs * NAV_WORDS >= n:
@@ -54,7 +61,7 @@ def line_fails(line: str, words: list[str]) -> bool:
         return True
     if n < FRAGMENT_WORDS and not _CLOSED.search(words[-1]):
         return True
-    return bool(_BOILER.search(line))
+    return phrases and bool(_BOILER.search(line))
 
 
 def repeat_words(words: list[str]) -> int:
@@ -79,6 +86,7 @@ def judge(text: str | None) -> tuple[tuple, list[str]]:
     words = WORD.findall(text)
     word_chars = sum(map(len, words))
     earlier, stay, dup, removed, lost = set(), [], 0, 0, 0
+    phrases = may_hold_phrases(text)
     for line in text.split("\n"):
         own = WORD.findall(line)
         if not own:
@@ -87,7 +95,7 @@ def judge(text: str | None) -> tuple[tuple, list[str]]:
         again = line in earlier
         dup += again
         earlier.add(line)
-        if again or line_fails(line, own):
+        if again or line_fails(line, own, phrases):
             removed += 1
             lost += sum(map(len, own))
         else:

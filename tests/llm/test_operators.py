@@ -645,3 +645,11 @@ def test_clean_documents_are_kept(spark, docs):
     got = Q.op10_quality_rules(spark, SF).join(docs, "doc_id")
     clean = got.where("not base_failed and n_symbols = 0 and n_dup_lines = 0 and text not like '%|%' and text not like '%!!%'")
     assert clean.where("not kept").count() == 0 and clean.count() > 50
+
+
+def test_phrases_are_found_by_their_plain_parts():
+    """The quick look at a text never misses a phrase."""
+    assert len(Q._PLAIN) == sum(len(re.findall(r"\|(?![^(]*\))", x)) + 1 for x in Q.PHRASES.values()) and min(map(len, Q._PLAIN)) > 4
+    for line in ("Terms of Service apply", "POLÍTICA de privacidad", "Alle Rechte vorbehalten.", "tous droits réservés", "Suscríbase", "uſes cookieſ", "SIGN UP"):
+        assert Q._BOILER.search(line) and Q.may_hold_phrases(line) and Q.line_fails(line, line.split())
+    assert not Q.may_hold_phrases("an honest line of prose without any of them")
