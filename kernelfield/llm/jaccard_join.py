@@ -396,7 +396,7 @@ class Join:
         words = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingles, pack = Shingler(words), zstandard.ZstdCompressor(level=1)
+            shingles, pack = Shingler(words), zstandard.ZstdCompressor(level=3)
             for batch in (b.slice(s, 1024) for b in batches for s in range(0, b.num_rows, 1024)):
                 out = []
                 for value in batch.column(1):
