@@ -382,7 +382,7 @@ class Join:
     With row, the name of a column of row numbers, also own: the least of (no id, id, text hash, row) of its rows.
     """
 
-    def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, rare: int = RARE, frequent: int = FREQUENT, part_bytes: int = 16 << 20, row: str | None = None, tile: int = TILE):
+    def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, rare: int = RARE, frequent: int = FREQUENT, part_bytes: int = 8 << 20, row: str | None = None, tile: int = TILE):
         self.spark, self.words, self.percent, self.rare, self.frequent, self.tile = docs.sparkSession, words, percent, rare, frequent, tile
         self.scratch = Scratch(self.spark)
         own = [F.struct(F.col(key).isNull().alias("no_id"), F.col(key).cast("bigint").alias("id"), F.xxhash64(plain_text(text)).alias("salt"), F.col(row).cast("bigint").alias("row")).alias("own")] if row else []

@@ -65,9 +65,10 @@ class Presence:
 
 def _summed(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Sums of successive rows, size of them each."""
-    upto = np.concatenate((np.zeros((1, rows.shape[1])), np.cumsum(rows, 0, dtype=np.float64)))
-    edge = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
-    return upto[edge[1:]] - upto[edge[:-1]]
+    out, some = np.zeros((len(size), rows.shape[1])), size > 0
+    if some.any():
+        out[some] = np.add.reduceat(rows, (np.cumsum(size) - size)[some], 0, dtype=np.float64)
+    return out
 
 
 def kernel(texts: list[str], marks: list[str]) -> np.ndarray:
@@ -175,7 +176,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", key: str
             for k, i in enumerate(some):
                 part.append(i)
                 held += len(texts[i])
-                if held >= 1 << 18 or k == len(some) - 1:
+                if held >= 1 << 16 or k == len(some) - 1:
                     for j, r in zip(part, fitted.predict([texts[j] for j in part], presence), strict=True):
                         got[j] = r
                     held, part = 0, []
