@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Texts go to Python in batches of about so many bytes: a batch is held several times over, by the JVM and by each worker.
+BATCH_BYTES = 2 << 20
 #: Words are runs of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -95,3 +97,11 @@ def lean(run):
         trim()
 
     return outer
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow of run, with trim() at its end, in batches of about BATCH_BYTES: the session's bound is lowered to that where it is higher."""
+    spark, bound = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(bound)) > BATCH_BYTES:
+        spark.conf.set(bound, str(BATCH_BYTES))
+    return df.mapInArrow(lean(run), schema)

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelfield.llm.common import WORD_SQL, Scratch, lean, plain_text, table, trim, unused, written
+from kernelfield.llm.common import WORD_SQL, Scratch, mapped, plain_text, table, trim, unused, written
 from kernelfield.llm.tally import Tally, parted
 
 WORDS, PERCENT = 5, 80
@@ -406,7 +406,7 @@ class Join:
                 columns = list(zip(*out, strict=True)) if out else [[]] * 3
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[k], pa.int64()) for k in range(2)], pa.array(columns[2], pa.binary()), *batch.columns[2:]], ["doc_id", "cls", "n", "packed", *batch.schema.names[2:]])
 
-        return self.rows.mapInArrow(lean(run), "doc_id bigint, cls bigint, n bigint, packed binary" + (", own struct<no_id:boolean,id:bigint,salt:bigint,row:bigint>" if "own" in self.rows.columns else ""))
+        return mapped(self.rows, run, "doc_id bigint, cls bigint, n bigint, packed binary" + (", own struct<no_id:boolean,id:bigint,salt:bigint,row:bigint>" if "own" in self.rows.columns else ""))
 
     def labels(self) -> DataFrame:
         """doc_id, cls, n of every row."""
@@ -429,8 +429,9 @@ class Join:
             tokens = sets(found)
             n = np.array([len(t) for t in tokens])
             flat = np.concatenate(tokens)
+            del tokens
             level = levels(flat)
-            who = np.repeat(np.arange(len(n)), n)
+            who = np.repeat(np.arange(len(n), dtype=np.int32), n)
             length = n - least_overlap(n, percent) + 1
             some = np.bincount(who[level == 0], minlength=len(n)) < length
             keep = some[who]
@@ -508,7 +509,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
         joined = right.join(left, (F.col("a") == F.col("of")) & (F.col("chunk") == F.col("part"))).select("a", "b", "x", "y")
-        return joined.mapInArrow(lean(run), _EDGES)
+        return mapped(joined, run, _EDGES)
 
     def links(self) -> DataFrame:
         """Every link (a, b) between classes, by the full index of all classes."""

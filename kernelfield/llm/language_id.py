@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kernelfield.llm.common import lean, table, unused
+from kernelfield.llm.common import mapped, table, unused
 
 MAX_N, BUCKETS = 4, 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
@@ -163,13 +163,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 def identify(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The key (or the columns of keep) with lang_pred and score, or under other names."""
     kept = keep or [key]
+    at = kept.index(text) if text in kept else len(kept)  # a text that is kept travels once
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in kept) + f", `{names[0]}` string, `{names[1]}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, presence = shared.value, Presence()
         for batch in (b.slice(s, 256) for b in batches for s in range(0, b.num_rows, 256)):
-            texts = batch.column(len(kept)).to_pylist()
+            texts = batch.column(at).to_pylist()
             got: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
             some = [i for i, t in enumerate(texts) if fitted and t and _LETTER.search(t)]
             held, part = 0, []
@@ -180,9 +181,9 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", key: str
                     for j, r in zip(part, fitted.predict([texts[j] for j in part], presence), strict=True):
                         got[j] = r
                     held, part = 0, []
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], [*kept, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], [*kept, *names])
 
-    return docs.select(*kept, F.col(text).alias(unused("__text", docs))).mapInArrow(lean(run), schema)
+    return mapped(docs.select(*kept, *([] if text in kept else [F.col(text).alias(unused("__text", docs))])), run, schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

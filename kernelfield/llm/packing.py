@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelfield.llm.common import lean, table
+from kernelfield.llm.common import mapped, table
 from kernelfield.llm.lexicon import SPACE, Flat, Lexicon, runs, text_bytes, words
 
 CAPACITY = 2048
@@ -129,7 +129,7 @@ class IdEncoder:
         ids = self.flat.values[np.repeat(self.starts.values[number] - upto[:-1], size) + np.arange(upto[-1])]
         return ids, upto[np.searchsorted(start, edge)]
 
-    def ids(self, data: np.ndarray, edge: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    def ids(self, data: np.ndarray, edge: np.ndarray, most: int = 1 << 17) -> Iterator[np.ndarray]:
         """The ids of each row; data are the bytes of rows, edge their edges. Rows are looked up in runs of about most bytes, longer ones in parts that end before white space."""
         for s, e in runs(edge, most):
             own, upto = data[edge[s] : edge[e]], edge[s : e + 1] - edge[s]
@@ -196,7 +196,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [key, "start", "length", "ids_crc32", "doc_tokens", "draw"])
 
     draw = F.xxhash64(F.lit(2048), key, text, F.monotonically_increasing_id())  # rows of one key, and equal ones, are spread as well
-    return docs.select(F.col(key).cast("bigint").alias(key), text, draw.alias("draw")).mapInArrow(lean(run), f"`{key}` bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, draw bigint")
+    return mapped(docs.select(F.col(key).cast("bigint").alias(key), text, draw.alias("draw")), run, f"`{key}` bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, draw bigint")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, group_docs: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:

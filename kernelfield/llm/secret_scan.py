@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelfield.llm.common import lean, table
+from kernelfield.llm.common import mapped, table
 
 MIN_LENGTH = 16
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}")
@@ -315,7 +315,7 @@ def scan(docs: DataFrame, forest: Forest, text: str = "text", path: str = "sourc
                 [key, "n_candidates", "n_secrets", "spans", "redacted_sha256"],
             )
 
-    return docs.select(key, text, path).mapInArrow(lean(run), f"`{key}` {kind}, n_candidates bigint, n_secrets bigint, spans array<struct<start:bigint,end:bigint>>, redacted_sha256 string")
+    return mapped(docs.select(key, text, path), run, f"`{key}` {kind}, n_candidates bigint, n_secrets bigint, spans array<struct<start:bigint,end:bigint>>, redacted_sha256 string")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,4 +341,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 columns[k] = pa.array([len(n) if s else o for n, o, (_, s) in zip(new, old, found, strict=True)], batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -66,9 +66,8 @@ class Tally:
         blocks = [packed(code[edge[k] : edge[k + 1]], n[edge[k] : edge[k + 1]]) for k in some]
         return pa.table([pa.array([part] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(blocks, pa.binary())], ["part", "bucket", "data"])
 
-    def answered(self, found: pa.Table) -> pa.Table:
-        """The levels of a bucket's hashes, for each part in its order."""
-        blocks = [unpacked(x) for x in found["data"].to_pylist()]
+    def _counted(self, blocks: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The levels of the hashes of blocks, for each block in its order."""
         code = np.concatenate([c for c, _ in blocks])
         if self.holder_bits:
             hashes = np.unique(code) >> np.uint64(self.holder_bits)
@@ -77,12 +76,27 @@ class Tally:
         else:
             distinct, number = np.unique(code, return_inverse=True)
             n = np.bincount(number, np.concatenate([k for _, k in blocks]))
-        level = np.ceil(np.log2(n)).astype(np.uint8)
-        pack, out = zstandard.ZstdCompressor(level=1), []
+        level, out = np.ceil(np.log2(n)).astype(np.uint8), []
         for c, _ in blocks:
             own = c >> np.uint64(self.holder_bits)
-            own = own[np.concatenate(([True], own[1:] != own[:-1]))]
-            out.append(pack.compress(level[np.searchsorted(distinct, own)].tobytes()))
+            own = own[np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1]))]
+            out.append(level[np.searchsorted(distinct, own)])
+        return out
+
+    def answered(self, found: pa.Table, most: int = 1 << 18) -> pa.Table:
+        """The levels of a bucket's hashes, for each part in its order. They are counted in ranges of about most hashes, as counting holds several copies."""
+        blocks = [unpacked(x) for x in found["data"].to_pylist()]
+        low, high = min(int(c[0]) for c, _ in blocks), max(int(c[-1]) for c, _ in blocks)
+        turns = 1 + sum(len(c) for c, _ in blocks) // most
+        inner = np.array([(low + (high - low) * k // turns) >> self.holder_bits << self.holder_bits for k in range(1, turns)], np.uint64)
+        edge = [np.concatenate(([0], np.searchsorted(c, inner), [len(c)])) for c, _ in blocks]
+        levels = []
+        for t in range(turns):
+            own = [(c[e[t] : e[t + 1]], n[e[t] : e[t + 1]]) for (c, n), e in zip(blocks, edge, strict=True)]
+            if any(len(c) for c, _ in own):
+                levels.append(self._counted(own))
+        pack = zstandard.ZstdCompressor(level=1)
+        out = [pack.compress(np.concatenate(x).tobytes()) for x in zip(*levels, strict=True)]
         answer = pa.table([found["part"], found["bucket"], pa.array(out, pa.binary())], ["part", "bucket", "data"])
         trim()
         return answer

@@ -2,6 +2,7 @@
 
 import json
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as P
@@ -29,6 +30,19 @@ def test_ids(most, entries):
     assert [x.tolist() for x in got] == [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_memory_of_ids():
+    """What a look-up holds beside the lexicon goes by a run of rows, not by the batch."""
+    r = random.Random(2)
+    vocabulary = ["".join(r.choices("abcdefghij", k=6)) for _ in range(2000)]
+    encoder, texts = PK.IdEncoder(P.path("word_bpe_49k.json")), text_bytes(pa.array([" ".join(r.choices(vocabulary, k=300)) for _ in range(1000)]))
+    total = sum(map(len, encoder.ids(*texts)))
+    tracemalloc.start()
+    assert sum(map(len, encoder.ids(*texts))) == total
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(texts[0]) > 2_000_000 and peak < 16 << 20, peak
+
+
 @pytest.mark.parametrize("most, entries", [(1 << 20, 1 << 20), (3000, 2000)])
 def test_counts(most, entries):
     encoder = TC.LengthEncoder(P.path("byte_bpe_50k.json"), most=entries)

@@ -38,6 +38,35 @@ def test_run(spark):
     assert P.run(spark, SF).count() > 100
 
 
+def test_batches_are_bounded(spark, monkeypatch):
+    """Of all texts that go to Python a small batch at a time, once each."""
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(2000)]
+    rows = [(i, " ".join(r.choices(words, k=600)), "en", f"src{i % 2}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").coalesce(1).persist()
+    assert docs.agg(F.sum(F.length("text"))).first()[0] > 8_000_000
+    seen, plain = [], type(docs).mapInArrow
+
+    def watched(df, func, schema, *rest, **more):
+        def run(batches):
+            def small():
+                for b in batches:
+                    assert b.nbytes < 5 << 19, b.nbytes
+                    yield b
+
+            yield from func(small())
+
+        seen.append(df.columns)
+        return plain(df, run, schema, *rest, **more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    for name, stage in P.STAGES:
+        if name != "source_mixing":
+            stage(spark, docs, SF).write.format("noop").mode("overwrite").save()
+    assert len(seen) >= 4 and all(len({"text", "__text", "raw"} & set(c)) <= 1 for c in seen)
+
+
 EXTRA = ["score", "lang_pred", "copies", "row", "__row", "__text", "size", "target", "component_id", "n_tokens", "length"]
 
 
