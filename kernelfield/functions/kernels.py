@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -68,7 +69,7 @@ class Kernel:
         whole = 2.0 * math.sqrt(2.0) * w**3 * math.pi**1.5 * math.erf(self.c * math.sqrt(2.0) / (2.0 * w))
         return 1.0 / (whole - 4.0 * self.c * w**2 * math.pi * math.exp(-(self.c**2) / (2.0 * w**2)))
 
-    @property
+    @cached_property
     def constants(self) -> dict[str, float]:
         """What the weight depends on besides the distance."""
         return {"c": self.c, "norm": self.norm, "step": self.step, "inverse": 1.0 / self.step, "last": float(self.entries - 1)}
@@ -84,6 +85,31 @@ class Kernel:
     def weight(self, r: Column) -> Column:
         return weight(self.name, self.mode, r, self.literals)
 
+    @cached_property
+    def _table(self) -> np.ndarray:
+        return self._shape((self.step + np.arange(self.entries) * self.step) / self.c)
+
+    def _shape(self, u: np.ndarray) -> np.ndarray:
+        """What _profile is for columns."""
+        if self.name == "Lucy":
+            return np.where(u > 1.0, 0.0, self.norm * (1.0 + u * u * (u * (8.0 - 3.0 * u) - 6.0)))
+        if self.name == "HeavySide":
+            return np.where(u < 1.0, self.norm, 0.0)
+        return np.where(u > 1.0, 0.0, self.norm * np.exp(-4.5 * u * u))
+
+    @property
+    def beyond(self) -> float:
+        """The table's last entry."""
+        return float(self._table[-1])
+
+    def of(self, r: np.ndarray) -> np.ndarray:
+        """The weight at distances in an array, which are not negative."""
+        if self.mode == "exact":
+            return self._shape(r / self.c)
+        at = r * self.constants["inverse"]
+        np.minimum(at, self.constants["last"], out=at)
+        return self._table.take(at.astype(np.intp), mode="clip")
+
 
 def _profile(name: str, u: Column, norm: Column) -> Column:
     """A kernel at u cutoffs from its centre."""

@@ -36,7 +36,7 @@ def tensor_sums(name: str, weight: Column, a: tuple[Column, Column, Column], b:
 
 def completed(sums: DataFrame, grid: Lattice, keys: DataFrame) -> DataFrame:
     """keys (t, phase) with every node; a node that no point reaches has sums of 0, one whose sums are null keeps them."""
-    names = [c for c in sums.columns if c not in ("t", "node", "phase", "n_pairs")]
+    names = [c for c in sums.columns if c not in ("t", "node", "phase", "n_pairs", "largest")]
     whole = grid.over(keys).join(sums, ["t", "node", "phase"], "left")
     filled = [F.when(F.col("n_pairs").isNull(), F.lit(0.0)).otherwise(F.col(c)).alias(c) for c in names]
     return whole.select("t", "node", "phase", "ix", "iy", "iz", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), *filled)

@@ -9,9 +9,13 @@ from kernelfield.operators.grid import AXES
 
 
 def deduplicated(contacts: DataFrame) -> DataFrame:
-    """Of each unordered pair of a step the contact that comes first in the file (row_idx)."""
-    pair = Window.partitionBy("t", F.least("i", "j"), F.greatest("i", "j")).orderBy("row_idx")
-    return contacts.withColumn("__n", F.row_number().over(pair)).where(F.col("__n") == 1).drop("__n")
+    """Of each unordered pair of a step the contact that comes first in the file (row_idx), with lo and hi, the ids in order.
+
+    Rows are dealt by t and lo alone, so that mapped() finds the particle lo of each contact without dealing them again.
+    """
+    dealt = contacts.withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")}).repartition("t", "lo")
+    pair = Window.partitionBy("t", "lo", "hi").orderBy("row_idx")
+    return dealt.withColumn("__n", F.row_number().over(pair)).where(F.col("__n") == 1).drop("__n")
 
 
 def bounds(particles: DataFrame) -> DataFrame:
@@ -23,18 +27,27 @@ def minimum_image(d: Column, length: Column, periodic: bool) -> Column:
     return d - length * F.rint(F.try_divide(d, length)) if periodic else d
 
 
-def mapped(contacts: DataFrame, particles: DataFrame, periodic: tuple[bool, bool, bool] = (False, False, False)) -> DataFrame:
+def mapped(contacts: DataFrame, particles: DataFrame, periodic: tuple[bool, bool, bool] = (False, False, False), point: dict[str, Column] | None = None) -> DataFrame:
     """Both directions of each contact, from the particle named first in that direction.
 
     t, cid, side, id, x, y, z (centre), fx..fz (force, reversed for side 1), bx..bz (branch vector), dx..dz (centre to centre), volume,
     phase. The branch goes from the centre to the contact point if contacts have one (cx..cz), else it is the part of the
     centre-to-centre vector that the diameters give. Periodic axes use the minimum image with the step's extent of centres as length.
-    Contacts with a particle that is missing drop out.
+    Contacts with a particle that is missing drop out. point gives contact points from the columns of both particles (i_x, j_x, ...).
     """
-    has_point = "cx" in contacts.columns
     kept = ["x", "y", "z", "diameter", "volume", "phase"]
     side = lambda s: particles.select(F.col("t").alias("t"), F.col("id").alias(s), *[F.col(k).alias(f"{s}_{k}") for k in kept])
-    joined = contacts.join(side("i"), ["t", "i"]).join(side("j"), ["t", "j"])
+    if "lo" not in contacts.columns:
+        contacts = contacts.withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
+    # the smaller id first: contacts may be dealt by it already
+    both = contacts.where(F.col("i").isNotNull() & F.col("j").isNotNull()).join(side("lo"), ["t", "lo"])
+    # in as many parts as there may be: a contact meets many nodes, and small inputs would be merged into a few parts
+    both = both.repartition(int(contacts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "hi").join(side("hi"), ["t", "hi"])
+    first = F.col("i") == F.col("lo")
+    joined = both.withColumns({f"{s}_{k}": F.when(first, F.col(f"{a}_{k}")).otherwise(F.col(f"{b}_{k}")) for s, a, b in (("i", "lo", "hi"), ("j", "hi", "lo")) for k in kept})
+    if point is not None:
+        joined = joined.withColumns({f"c{a}": v for a, v in point.items()})
+    has_point = "cx" in joined.columns
     if any(periodic):
         extent = bounds(particles).select("t", *[(F.col(f"{a}_max") - F.col(f"{a}_min")).alias(f"l{a}") for a in AXES])
         joined = joined.join(extent, "t")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kernelfield.functions import tensors as T
-from kernelfield.functions.kernels import Kernel, with_line_weight, with_weights
+from kernelfield.functions.kernels import Kernel, with_weights
 from kernelfield.operators import aggregate as A
 from kernelfield.operators.gradient import finite_differences, least_squares
 from kernelfield.operators.grid import AXES, Lattice
+from kernelfield.operators.lines import line_sums
 from kernelfield.operators.neighbours import match
 
 #: What each field is computed from.
@@ -55,13 +56,6 @@ def needs_contacts(wanted, counted: bool) -> bool:
     return bool(every & {"contact_tensor", "fabric_tensor", "coordination_number_without_rattlers"}) or "coordination_number" in every and not counted
 
 
-def compiled_methods(spark: SparkSession, most: int = 8000) -> None:
-    """From now on the session runs plans whose generated method is over 8000 bytes operator by operator: the JVM never compiles such a method, and interpreting the one of ten samples a pair takes five times as long."""
-    name = "spark.sql.codegen.hugeMethodLimit"
-    if int(spark.conf.get(name, "65535")) > most:
-        spark.conf.set(name, str(most))
-
-
 @dataclass(frozen=True)
 class Fields:
     """Lazy field tables: each property is a DataFrame keyed by t, node, phase (0: bulk).
@@ -92,15 +86,13 @@ class Fields:
         k = self.kernel
         return with_weights(match(self.particles, self.grid, k.c), k.name, k.mode, k.literals, {"w": F.col("dist")})
 
+    def _line_sums(self, values: dict, phased: bool) -> DataFrame:
+        return line_sums(self.directed, self.grid, self.kernel, values, phased)
+
     @cached_property
-    def contact_pairs(self) -> DataFrame:
-        # a contact fans out to many pairs of ten samples each: small inputs must not have been merged into a few partitions
-        spark = self.directed.sparkSession
-        compiled_methods(spark)
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        near = match(self.directed.repartition(n, "t", "id"), self.grid, self.kernel.c)
-        r, b = (tuple(F.col(f"{k}{a}") for a in AXES) for k in ("r", "b"))
-        return with_line_weight(near, self.kernel.name, self.kernel.mode, self.kernel.literals, r, b, "wint")
+    def contact_weights(self) -> DataFrame:
+        """t, node, n_pairs, total and largest line weight of the nodes that contacts reach."""
+        return self._line_sums({"total": F.lit(1.0)}, False)
 
     @cached_property
     def base(self) -> DataFrame:
@@ -158,15 +150,14 @@ class Fields:
     def contact(self) -> DataFrame:
         """c_ab = sum wint F (x) branch."""
         f, b = (tuple(F.col(f"{k}{a}") for a in AXES) for k in ("f", "b"))
-        return A.completed(A.grouped(self.contact_pairs, A.tensor_sums("c", F.col("wint"), f, b), self.phases > 0), self.grid, self.keys)
+        return A.completed(self._line_sums({f"c_{p}": f[AXES.index(p[0])] * b[AXES.index(p[1])] for p in T.PAIRS}, self.phases > 0), self.grid, self.keys)
 
     @cached_property
     def fabric(self) -> DataFrame:
         """fab_ab = sum wint volume l (x) l of the bulk, l the direction from centre to centre."""
         length = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
-        near = self.contact_pairs.withColumn("len", length)
-        unit = tuple(T.ratio(F.col(f"d{a}"), F.col("len")) for a in AXES)
-        return A.completed(A.grouped(near, A.tensor_sums("fab", F.col("wint"), unit, unit, F.col("volume")), False), self.grid, self.bulk_keys)
+        unit = {a: T.ratio(F.col(f"d{a}"), length) for a in AXES}
+        return A.completed(self._line_sums({f"fab_{p}": F.col("volume") * unit[p[0]] * unit[p[1]] for p in T.PAIRS}, False), self.grid, self.bulk_keys)
 
     @cached_property
     def stress(self) -> DataFrame:
