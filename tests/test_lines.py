@@ -90,3 +90,18 @@ def test_contacts_are_dealt_three_times(spark):
         assert plan.count("Exchange hashpartitioning") == 6
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_table_of_many_fields_takes_contacts_once(spark):
+    """Its plan reads sums that are there, for the contact tensor, the fabric, and what follows from stress."""
+    p = fixtures.particles(spark, SF)
+    f = Fields(p, BOX, Kernel("Lucy", 0.2), C.mapped(C.deduplicated(fixtures.contacts(spark, SF)), p))
+    rows = f.table(["contact_tensor", "fabric_tensor", "pressure", "frictional_coefficient"])
+    assert "MapInArrow" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_particles_are_dealt_before_they_meet_nodes(spark):
+    """One small file of particles is one task, but its pairs are not."""
+    p = fixtures.particles(spark, SF)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert p.rdd.getNumPartitions() < n and Fields(p, BOX, Kernel("Lucy", 0.2)).pairs.rdd.getNumPartitions() == n
